@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, media, packing, pieces, token_counts
 from .common import table
 
 
@@ -27,6 +28,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), derive=ids_crc32, derived="ids_crc32 long")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+def ids_digest(ids: list[int], decoded: str) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"), derive=ids_digest, derived="n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def media_digest(n_bytes: int, stored: bytes) -> tuple:
+    payload = media.from_media(stored)
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), media.features(payload)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, _ = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.read(stored, media_digest, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,6 +73,9 @@ WINDOW w AS (PARTITION BY body ORDER BY chars DESC, doc_id)
 def queries() -> dict:
     return {
         "op2_packing": op2_packing,
+        "op4_token_counts": op4_token_counts,
+        "op8_pieces": op8_pieces,
+        "op9_media": op9_media,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
