@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, media, near_dedup, packing, pieces, token_counts
-from .common import table
+from . import exact_dedup, media, near_dedup, packing, pieces, token_counts, toxicity
+from .common import split_remainder, table
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +24,17 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+#: Scores from here on are predicted toxic.
+TOXIC_FROM = 0.3
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs, model, column="score")
+    return scored.select("doc_id", (split_remainder(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), derive=ids_crc32, derived="ids_crc32 long")
@@ -97,6 +109,7 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
         "op4_token_counts": op4_token_counts,
         "op7_near_dedup": op7_near_dedup,
