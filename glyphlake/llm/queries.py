@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, near_dedup, packing, pieces, token_counts, toxicity
+from . import exact_dedup, language_id, media, near_dedup, packing, pieces, token_counts, toxicity, warc
 from .common import split_remainder, table
 
 
@@ -40,10 +40,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), derive=ids_crc32, derived="ids_crc32 long")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles, _ = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.with_language(docs.select("doc_id", "text"), language_id.fit_on(docs), columns=("lang_pred", "score", "accepted"))
+    return found.select("doc_id", (split_remainder(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -111,7 +132,9 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
+        "op3_warc": op3_warc,
         "op4_token_counts": op4_token_counts,
+        "op5_language_id": op5_language_id,
         "op7_near_dedup": op7_near_dedup,
         "op8_pieces": op8_pieces,
         "op9_media": op9_media,
@@ -120,4 +143,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op7_near_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
