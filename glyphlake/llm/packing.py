@@ -7,7 +7,6 @@ packs its own share as a stream in descending length, holding nothing but the op
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import numpy as np
@@ -15,31 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .byte_pairs import tokenizer
 from .common import prepare, task_base
 
 WINDOW = 1024
 #: The id that ends each document.
 END = 0
 
-_TOKENIZERS: dict[str, object] = {}
-
-
-def tokenizer(path: str):
-    """The tokenizer in the file, loaded once in each worker process."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
-
-
-def encoded(texts: list[str], path: str, end: int | None = END) -> list[np.ndarray]:
-    """Ids of whole texts, without special tokens, each followed by `end`."""
-    tail = [] if end is None else [end]
-    return [np.array(e.ids + tail, np.uint32) for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
-
-
 class OpenWindows:
     """Open windows by remaining capacity: a segment tree whose leaf c counts the windows with c tokens left."""
 
@@ -90,18 +71,19 @@ def cut_pieces(df: DataFrame, vocabulary: str, row_id: str = "doc_id", text: str
     prepare(df.sparkSession)
 
     def run(batches):
+        encode = tokenizer(vocabulary).encode
         for batch in batches:
             texts = batch.column(1).to_pylist()
             docs, starts, lengths, totals, extra = [], [], [], [], []
-            for at in range(0, len(texts), 256):
-                for doc, ids in zip(batch.column(0)[at : at + 256].to_pylist(), encoded(texts[at : at + 256], vocabulary, end)):
-                    for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        docs.append(doc)
-                        starts.append(start)
-                        lengths.append(len(piece))
-                        totals.append(len(ids))
-                        extra.append(derive(piece) if derive else piece.astype(np.int32))
+            for doc, text in zip(batch.column(0).to_pylist(), texts):
+                ids = np.array([*encode(text), end], np.uint32)
+                for start in range(0, len(ids), window):
+                    piece = ids[start : start + window]
+                    docs.append(doc)
+                    starts.append(start)
+                    lengths.append(len(piece))
+                    totals.append(len(ids))
+                    extra.append(derive(piece) if derive else piece.astype(np.int32))
             arrays = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, totals)] + [pa.array(extra) if derive else pa.array(extra, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", derived.split()[0] if derive else "ids"])
 

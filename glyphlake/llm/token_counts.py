@@ -15,25 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_pairs import tokenizer
 from .common import prepare
-from .packing import tokenizer
 
 RULES = ("start", "end", "most")
-_LENGTHS: dict[str, np.ndarray] = {}
-
-
-def token_bytes(path: str) -> np.ndarray:
-    """The number of bytes that each id stands for: byte-level tokens have a character for each byte, special ones are plain text."""
-    if path not in _LENGTHS:
-        t = tokenizer(path)
-        lengths = np.zeros(t.get_vocab_size(with_added_tokens=True), np.int64)
-        for token, i in t.get_vocab(with_added_tokens=False).items():
-            lengths[i] = len(token)
-        for i, token in t.get_added_tokens_decoder().items():
-            lengths[i] = len(token.content.encode())
-        _LENGTHS[path] = lengths
-    return _LENGTHS[path]
-
 
 def token_spans(ids: np.ndarray, raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last character (code point) of each token; a token inside a character has that character."""
@@ -91,33 +76,28 @@ def count_tokens(df: DataFrame, vocabulary: str, row_id: str = "doc_id", text: s
     prepare(df.sparkSession)
 
     def run(batches):
-        lengths = token_bytes(vocabulary)
+        t = tokenizer(vocabulary)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given = batch.column(2).to_pylist() if sections else None
             columns: list[list] = [[] for _ in range(7)]
-            for at in range(0, len(texts), 256):
-                some = texts[at : at + 256]
-                for i, e in enumerate(tokenizer(vocabulary).encode_batch(some, add_special_tokens=False)):
-                    ids = np.array(e.ids, np.int64)
-                    first, last = token_spans(ids, some[i].encode(), lengths)
-                    if given is None:
-                        starts, ends = line_sections(some[i])
-                    else:
-                        spans = given[at + i] or []
-                        starts, ends = (np.array([s[k] for s in spans], np.int64) for k in ("start", "end"))
-                    own = attribute(first, last, starts, ends, rule)
-                    n = len(starts)
-                    held = own >= 0
-                    own_held = own[held]
-                    crossing = (last[held] > ends[own_held]) | (first[held] < starts[own_held]) if n else np.zeros(0, bool)
-                    counts, crossed = np.bincount(own_held, minlength=n), np.bincount(own_held[crossing], minlength=n)
-                    numbers, outside = np.arange(n), given is not None
-                    for column, value in zip(columns, ([docs[at + i]] * n, numbers, starts, ends, counts, crossed, np.full(n, len(ids)))):
-                        column.extend(value.tolist() if isinstance(value, np.ndarray) else value)
-                    if outside:
-                        for column, value in zip(columns, (docs[at + i], -1, None, None, int((~held).sum()), 0, len(ids))):
-                            column.append(value)
+            for k, (doc, text) in enumerate(zip(docs, texts)):
+                ids = np.array(t.encode(text), np.int64)
+                first, last = token_spans(ids, text.encode(), t.lengths)
+                if given is None:
+                    starts, ends = line_sections(text)
+                else:
+                    starts, ends = (np.array([s[name] for s in given[k] or []], np.int64) for name in ("start", "end"))
+                own = attribute(first, last, starts, ends, rule)
+                n, held = len(starts), own >= 0
+                at = own[held]
+                crossing = (last[held] > ends[at]) | (first[held] < starts[at]) if n else np.zeros(0, bool)
+                values = [[doc] * n, range(n), starts.tolist(), ends.tolist(), np.bincount(at, minlength=n).tolist(), np.bincount(at[crossing], minlength=n).tolist(), [len(ids)] * n]
+                for column, value in zip(columns, values):
+                    column.extend(value)
+                if given is not None:
+                    for column, value in zip(columns, (doc, -1, None, None, int((~held).sum()), 0, len(ids))):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens"])
 
     chosen = [F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")] + ([F.col(sections).alias("sections")] if sections else [])
