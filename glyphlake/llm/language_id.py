@@ -75,7 +75,7 @@ class Model:
         self.languages, self.idf, self.centroids, self.least = languages, idf, centroids, least
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        return normalised(np.log1p(counts(texts)) * self.idf)
+        return normalised(counts(texts) * self.idf)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, cosine (0 to 1) and whether the distance is accepted; `und`, 0 and not for texts that are null or have no letter."""
@@ -98,7 +98,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
     c = counts(texts)
     idf = (np.log((1 + len(texts)) / (1 + np.count_nonzero(c, axis=0))) + 1).astype(np.float32)
-    v = normalised(np.log1p(c) * idf)
+    v = normalised(c * idf)
     names, centroids, least = [], [], []
     labels = np.array(languages)
     for name in known:
