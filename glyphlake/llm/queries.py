@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, media, near_dedup, packing, pieces, token_counts, toxicity, warc
+from . import exact_dedup, html_template, language_id, media, near_dedup, packing, pieces, token_counts, toxicity, warc
 from .common import split_remainder, table
 
 
@@ -65,6 +65,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (split_remainder(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -135,6 +139,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_token_counts": op4_token_counts,
         "op5_language_id": op5_language_id,
+        "op6_html": op6_html,
         "op7_near_dedup": op7_near_dedup,
         "op8_pieces": op8_pieces,
         "op9_media": op9_media,
