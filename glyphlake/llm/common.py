@@ -66,11 +66,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphlake/{name}-{uuid.uuid4().hex}"
 
 
+MERGE_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """The table written to the shared folder and read back, and its path: lineage ends here and survives executors."""
+    """The table written to the shared folder and read back, and its path: lineage ends here and survives executors.
+
+    While it is written, Spark merges small partitions up to its advisory size, so that a small table is not spread over many files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(MERGE_FIRST)
+    spark.conf.set(MERGE_FIRST, "false")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(MERGE_FIRST, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
