@@ -65,7 +65,7 @@ def script_distribution(text: str | Column) -> Column:
     first = lambda code: F.length(F.regexp_replace(text, F.concat(F.lit("(?s)"), F.element_at(map_literal(CLASSES), code), F.lit(".*")), F.lit("")))
     found = F.filter(_counts(text), lambda s: s["n"] > 0)
     ordered = F.array_sort(F.transform(found, lambda s: F.struct((-s["n"]).alias("m"), first(s["code"]).alias("at"), s["code"].alias("script"))))
-    return F.transform(ordered, lambda s: F.struct(s["script"].alias("script"), (-s["m"]).alias("count")))
+    return F.when(text.isNotNull(), F.transform(ordered, lambda s: F.struct(s["script"].alias("script"), (-s["m"]).alias("count"))))
 
 
 def script_runs(text: str | Column) -> Column:
