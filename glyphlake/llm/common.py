@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,35 +15,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Bytes of one Arrow batch on its way to a Python worker; very long texts then travel in small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Rows of one Arrow batch.
 BATCH_ROWS = 4000
 
 #: Spark's own limit for a batch, which prepare() lowers.
 DEFAULT_BATCH_BYTES = "67108864"
 
-_SHIPPED = "_glyphlake_shipped"
-
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on executors and bound the Arrow batches of this session.
-
-    The archive goes through Spark's own file server, so that no shared folder is needed.  Batch limits are set only
-    where the session has Spark's defaults.
-    """
-    sc = spark.sparkContext
-    if not getattr(sc, _SHIPPED, False):
-        root = Path(__file__).resolve().parents[1]
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, f"{root.name}/{p.relative_to(root)}")
-        folder = tempfile.mkdtemp(prefix="glyphlake-")
-        path = os.path.join(folder, "glyphlake_code.zip")
-        Path(path).write_bytes(buffer.getvalue())
-        sc.addPyFile(path)
-        setattr(sc, _SHIPPED, True)
+    """Make the package importable on executors and bound the Arrow batches of this session, where it has Spark's defaults."""
+    ship(spark)
     for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", DEFAULT_BATCH_BYTES, BATCH_BYTES)):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b") == default:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
@@ -108,21 +92,24 @@ def task_base() -> int:
     return (context.partitionId() if context else 0) << 36
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow, which gives memory back at its end: worker processes live on, beside a full executor heap."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is None:
-                    continue
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
 
-    return df.mapInArrow(run, schema)
+def trim() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, removed, task_base, written
+from .common import lean, prepare, removed, task_base, written
 
 #: Bytes of one block.  Levels of naming: log2 of the longest text's blocks.
 BLOCK_BYTES = 16384
@@ -75,7 +75,7 @@ def _named(sorted_contents: DataFrame) -> DataFrame:
                 names.append(task | rank)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.int64())], names=["local", "name"])
 
-    return sorted_contents.mapInArrow(run, "local long, name long")
+    return sorted_contents.mapInArrow(lean(run), "local long, name long")
 
 
 def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -87,7 +87,7 @@ def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = B
     """
     prepare(df.sparkSession)
     source = df.select(row_id.cast("long").alias("doc"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
-    cut, cut_path = written(source.mapInArrow(_cut(block_bytes), "row long, doc long, block int, blocks int, local long, content binary, chars long, sha string"), "blocks", "none")
+    cut, cut_path = written(source.mapInArrow(lean(_cut(block_bytes)), "row long, doc long, block int, blocks int, local long, content binary, chars long, sha string"), "blocks", "none")
 
     # Level 0 sorts contents.  Each row is one task's first sight of a block: a common block has one row for each task.
     firsts = cut.where("content is not null").select("content", "local").repartition("content").sortWithinPartitions("content")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, task_base, written
+from .common import lean, prepare, task_base, written
 
 #: A class is part of the template if it is on this share of a host's pages, of which there are at least LEAST_PAGES.
 SUPPORT, LEAST_PAGES = 0.8, 5
@@ -181,7 +181,7 @@ def classes(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """
     prepare(df.sparkSession)
     source = df.select(F.col(url).alias("url"), F.col(page).alias("page"))
-    grouped = source.mapInArrow(_tokens, TOKENS).groupBy("host", "token").agg(
+    grouped = source.mapInArrow(lean(_tokens), TOKENS).groupBy("host", "token").agg(
         F.min("path").alias("path"), *(F.sum(c).alias(c) for c in ("sum1", "sum2", "pages", "total")), F.max("most").alias("most"), F.sum("chars").alias("chars"))
     grouped, _ = written(grouped.where(f"pages >= {LEAST_PAGES}"), "tokens")
     hosts = grouped.where("token = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
@@ -225,7 +225,7 @@ def templates(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                 nested.append(json.dumps(tree))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(mains, pa.string()), pa.array(nested, pa.string())], names=["host", "own", "main", "classes"])
 
-    return rows.mapInArrow(run, "host string, own array<long>, main string, classes string")
+    return rows.mapInArrow(lean(run), "host string, own array<long>, main string, classes string")
 
 
 def _nests(group: list[dict]) -> bool:
@@ -276,4 +276,4 @@ def extract(df: DataFrame, row_id: str = "page_id", url: str = "url", page: str
                 texts.append(main_text(p, sets[own], main))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

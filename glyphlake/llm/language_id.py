@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, spans_of_bytes, split_remainder
+from .common import lean, prepare, spans_of_bytes, split_remainder, trim
 
 DIMENSIONS = 4096
 CENTROIDS = 4
 #: Texts of each language, and of all, that a fit reads, about; and their longest in characters.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 1000, 8000, 100_000
-#: A text is rejected below this share of the least cosine that training texts have to the centroid.
-MARGIN = 0.5
+SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 600, 4000, 50_000
+#: A text is rejected below this share of the least cosine that the language's training texts have to their nearest centroid.
+MARGIN = 0.4
 UNKNOWN = "und"
 
 #: Letters and bytes beyond ASCII; all other bytes are blanks.
@@ -59,11 +59,8 @@ def normalised(v: np.ndarray) -> np.ndarray:
 
 
 def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from the mean and the vectors that are farthest from those already chosen."""
-    chosen = [normalised(v.mean(axis=0, keepdims=True))[0]]
-    while len(chosen) < min(k, len(v)):
-        chosen.append(v[np.argmin((v @ np.array(chosen).T).max(axis=1))])
-    c = np.array(chosen)
+    """Spherical k-means from k vectors drawn with a fixed seed."""
+    c = v[np.sort(np.random.Generator(np.random.PCG64(5)).permutation(len(v))[:k])]
     for _ in range(rounds):
         own = (v @ c.T).argmax(axis=1)
         c = normalised(np.array([v[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))]))
@@ -106,12 +103,11 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         if not len(own):
             continue
         group = clustered(own, CENTROIDS)
-        cosine = own @ group.T
-        nearest = cosine.argmax(axis=1)
-        for i, x in enumerate(group):
+        farthest = (own @ group.T).max(axis=1).min()
+        for x in group:
             names.append(name)
             centroids.append(x)
-            least.append(MARGIN * (cosine[nearest == i, i].min() if (nearest == i).any() else 1.0))
+            least.append(MARGIN * farthest)
     return Model(names, idf, np.array(centroids, np.float32).reshape(-1, DIMENSIONS), np.array(least))
 
 
@@ -126,7 +122,10 @@ def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     rows = usable.where(draw < share).collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    model = fit([r.text for r in rows], [r.lang for r in rows])
+    del rows
+    trim()
+    return model
 
 
 def with_language(df: DataFrame, model: Model, text: str = "text", columns: tuple[str, str, str] = ("language", "cosine", "accepted")) -> DataFrame:
@@ -143,4 +142,4 @@ def with_language(df: DataFrame, model: Model, text: str = "text", columns: tupl
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{columns[0]}` string, `{columns[1]}` double, `{columns[2]}` boolean")
+    return df.mapInArrow(lean(run), f"{schema}, `{columns[0]}` string, `{columns[1]}` double, `{columns[2]}` boolean")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, removed, spans_of_bytes, task_base, utf8_buffers, written
+from .common import lean, prepare, removed, spans_of_bytes, task_base, utf8_buffers, written
 
 WORDS = 5
 BANDS, ROWS = 45, 7
@@ -34,7 +34,7 @@ UNIVERSE = 1 << 20
 #: Most documents, and most shingles, of one block in the exact comparison.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
 #: Bytes of text that are hashed at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _TABLES: dict[str, np.ndarray] = {}
@@ -357,7 +357,7 @@ def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percen
     spark = df.sparkSession
     prepare(spark)
     source = df.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed, signed_path = written(source.mapInArrow(_signed, SIGNED), "signed", "none")
+    signed, signed_path = written(source.mapInArrow(lean(_signed), SIGNED), "signed", "none")
 
     # equal sets are one: the first row stands for them
     classes = signed.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min("row").alias("head"))
@@ -365,11 +365,11 @@ def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percen
     heads = members.where("row = head and size > 0").select("row", "size")
 
     buckets = signed.select("row", "bands").join(heads.select("row"), "row").select(F.explode("bands").alias("key"), "row")
-    grouped = components(buckets.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_bucket_links, "a long, b long"), "buckets")
+    grouped = components(buckets.repartition("key").sortWithinPartitions("key", "row").mapInArrow(lean(_bucket_links), "a long, b long"), "buckets")
     units, units_path = written(_units(grouped.withColumnRenamed("id", "row").join(heads, "row"), percent), "units")
-    sets = signed.select("row", "packed").join(units, "row").mapInArrow(_sets, f"row long, units {dict(units.dtypes)['units']}, hashes binary")
+    sets = signed.select("row", "packed").join(units, "row").mapInArrow(lean(_sets), f"row long, units {dict(units.dtypes)['units']}, hashes binary")
     dealt = sets.select(F.explode("units").alias("u"), "row", "hashes").select("u.unit", "u.side", "row", "hashes").repartition("unit").sortWithinPartitions("unit")
-    joined = components(dealt.mapInArrow(_verified(percent), "a long, b long"), "links")
+    joined = components(dealt.mapInArrow(lean(_verified(percent)), "a long, b long"), "links")
     removed(spark, signed_path, units_path)
 
     placed = members.join(joined.withColumnRenamed("id", "head"), "head", "left").select("id", "size", F.coalesce("component", "head").alias("component"))

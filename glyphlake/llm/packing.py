@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import tokenizer
-from .common import prepare, task_base
+from .common import lean, prepare, task_base
 
 WINDOW = 1024
 #: The id that ends each document.
@@ -88,7 +88,7 @@ def cut_pieces(df: DataFrame, vocabulary: str, row_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", derived.split()[0] if derive else "ids"])
 
     return df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, start long, length long, doc_tokens long, " + (derived if derive else "ids array<int>"))
+        lean(run), "doc_id long, start long, length long, doc_tokens long, " + (derived if derive else "ids array<int>"))
 
 
 def assign(pieces: DataFrame, length: str = "length", key: list[str | Column] | None = None, window: int = WINDOW) -> DataFrame:
@@ -121,7 +121,7 @@ def assign(pieces: DataFrame, length: str = "length", key: list[str | Column] |
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.repartition(*key).sortWithinPartitions(F.desc(length), *key).mapInArrow(run, schema)
+    return pieces.repartition(*key).sortWithinPartitions(F.desc(length), *key).mapInArrow(lean(run), schema)
 
 
 def pack(df: DataFrame, vocabulary: str, row_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, **derive) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import lean, prepare
 
 MARK = "▁"
 #: Stretches and pairs that a worker remembers; beyond that it starts afresh, so memory stays bounded.
@@ -201,4 +201,4 @@ def encode(df: DataFrame, path: str, row_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
 
     return df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
-        run, "doc_id long, " + (derived if derive else "ids array<int>, decoded string"))
+        lean(run), "doc_id long, " + (derived if derive else "ids array<int>, decoded string"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import tokenizer
-from .common import prepare
+from .common import lean, prepare
 
 RULES = ("start", "end", "most")
 
@@ -101,4 +101,4 @@ def count_tokens(df: DataFrame, vocabulary: str, row_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens"])
 
     chosen = [F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")] + ([F.col(sections).alias("sections")] if sections else [])
-    return df.select(*chosen).mapInArrow(run, "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long")
+    return df.select(*chosen).mapInArrow(lean(run), "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long")

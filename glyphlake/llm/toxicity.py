@@ -22,17 +22,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, split_remainder
+from .common import lean, prepare, split_remainder, trim
 
 #: Labelled documents of each class that a fit reads at most (those with the lowest hash of their id), and their longest text in characters.
-SAMPLE, SAMPLE_CHARS = 3000, 100_000
+SAMPLE, SAMPLE_CHARS = 2000, 50_000
 #: Bytes of ordinary text and of toxic text in the dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 1200, 2400
 #: Bytes from the ordinary dictionary in front of each window: a block that doesn't shrink is stored as it is, and would show no difference.
 CARRIER_BYTES = 24
 LEVEL = 6
 #: Windows whose difference a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Stands in front of each word, in windows and dictionaries: a match from a word's beginning is longer than one inside a word.
 START = b"\0\1\2\3"
 
@@ -65,12 +65,20 @@ def saving_strings(toxic: list[list[bytes]], ordinary: list[list[bytes]], room:
     a, b = Counter(x for w in toxic for x in set(w)), Counter(x for w in ordinary for x in set(w))
     n, m = max(1, len(toxic)), max(1, len(ordinary))
     least = max(3, 0.02 * n)
-    holders = defaultdict(list)
+    uses = Counter()
+    for x, c in a.items():
+        y = x[:24] + b" "
+        for k in range(3, len(y) + 1):
+            uses[y[:k]] += c
+    # so many uses that fewer than one string of all is expected to have them in toxic documents alone by chance
+    least = max(least, np.log(max(2, len(uses))) / np.log((n + m) / n))
+    holders: dict[bytes, list[bytes]] = {g: [] for g, c in uses.items() if c >= least}
+    del uses
     for x in a:
         y = x[:24] + b" "
         for k in range(3, len(y) + 1):
-            holders[y[:k]].append(x)
-    holders = {g: h for g, h in holders.items() if sum(a[x] for x in h) >= least}
+            if (held := holders.get(y[:k])) is not None:
+                held.append(x)
     weight = {x: float(a[x]) for h in holders.values() for x in h}
     against: dict[bytes, float] = defaultdict(float)
     for x, c in b.items():
@@ -236,7 +244,10 @@ def fit_on(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
     ids = spark.createDataFrame([(int(r.doc_id), int(r.toxic)) for r in chosen.collect()], "doc_id long, toxic int")
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows if r.toxic == 1][: 2 * sample], [r.text for r in rows if r.toxic == 0][: 2 * sample])
+    model = fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
+    del rows
+    trim()
+    return model
 
 
 def with_scores(df: DataFrame, model: Model, text: str = "text", column: str = "toxicity") -> DataFrame:
@@ -253,4 +264,4 @@ def with_scores(df: DataFrame, model: Model, text: str = "text", column: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{column}` double")
+    return df.mapInArrow(lean(run), f"{schema}, `{column}` double")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, task_base, written
+from .common import lean, prepare, task_base, written
 
 REVISIT_BYTES = 100
 #: Decompressed bytes of a frame and of a bundle, about.
@@ -162,7 +162,7 @@ def write(df: DataFrame, row_id: str = "page_id", url: str = "url", payload: str
     # written, so that its size is known before the pages are read again: broadcast where small, else joined by a shuffle
     repeated, _ = written(long_ones.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "repeated")
     marked = pages.join(repeated, "digest", "left").select("page", "url", "body", "digest", F.when(~F.col("first").eqNullSafe(F.col("page")), F.col("first")).alias("refers"))
-    return written(marked.mapInArrow(_bundled, BUNDLES), "warc", "none")
+    return written(marked.mapInArrow(lean(_bundled), BUNDLES), "warc", "none")
 
 
 def read(bundles: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def read(bundles: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return bundles.select("archive", "index").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return bundles.select("archive", "index").mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def index(bundles: DataFrame) -> DataFrame:
@@ -217,4 +217,4 @@ def export(bundles: DataFrame, folder: str) -> DataFrame:
                 made.append((path, len(archive.as_buffer())))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int64())], names=["path", "bytes"])
 
-    return bundles.select("bundle", "archive").mapInArrow(run, "path string, bytes long")
+    return bundles.select("bundle", "archive").mapInArrow(lean(run), "path string, bytes long")
