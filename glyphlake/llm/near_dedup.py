@@ -6,7 +6,7 @@
 3. K = bands x rows; documents that agree in a whole band share a bucket.  Each bucket links its members to its first one; these links
    join documents to candidate groups.  No pair is emitted: a bucket of n members gives n - 1 links.
 4. Within each candidate group all sets are compared exactly, blocked by set size and hash, as products of incidence matrices; what leaves a
-   block is a spanning forest of its true links.
+   block is a spanning forest of its true links.  In a group of more than HUGE_DOCS different sets, those that share a bucket are compared.
 5. Connected components of the true links, by star contraction over written tables.
 
 With 45 bands of 7 rows a pair at similarity 0.85 is missed by the buckets with probability 3e-8, while one at 0.1 comes
@@ -33,6 +33,8 @@ PERCENT = 85
 UNIVERSE = 1 << 20
 #: Most documents, and most shingles, of one block in the exact comparison.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: Candidate groups of more documents than this are compared bucket by bucket.
+HUGE_DOCS = 20_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -347,6 +349,18 @@ def _units(candidates: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(around.select("row", F.concat(same, upward, downward).alias("units")))
 
 
+def _compared(signed: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The units of all candidates.  In a huge group only documents that share a bucket are compared, a bucket standing for a group."""
+    huge = candidates.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > HUGE_DOCS).select("component")
+    if not huge.take(1):
+        return _units(candidates, percent)
+    within = candidates.join(huge, "component", "left_semi").select("row", "size")
+    keyed = signed.select("row", "bands").join(within, "row").select("row", F.explode("bands").alias("component"), "size")
+    shared = keyed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    split = candidates.join(huge, "component", "left_anti").select("row", "component", "size").unionByName(keyed.join(shared, "component", "left_semi").select("row", "component", "size"))
+    return _units(split, percent).groupBy("row").agg(F.flatten(F.collect_list("units")).alias("units"))
+
+
 def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """For each input row: doc_id, n_shingles, component_id, kept.
 
@@ -366,7 +380,7 @@ def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percen
 
     buckets = signed.select("row", "bands").join(heads.select("row"), "row").select(F.explode("bands").alias("key"), "row")
     grouped = components(buckets.repartition("key").sortWithinPartitions("key", "row").mapInArrow(lean(_bucket_links), "a long, b long"), "buckets")
-    units, units_path = written(_units(grouped.withColumnRenamed("id", "row").join(heads, "row"), percent), "units")
+    units, units_path = written(_compared(signed, grouped.withColumnRenamed("id", "row").join(heads, "row"), percent), "units")
     sets = signed.select("row", "packed").join(units, "row").mapInArrow(lean(_sets), f"row long, units {dict(units.dtypes)['units']}, hashes binary")
     dealt = sets.select(F.explode("units").alias("u"), "row", "hashes").select("u.unit", "u.side", "row", "hashes").repartition("unit").sortWithinPartitions("unit")
     joined = components(dealt.mapInArrow(lean(_verified(percent)), "a long, b long"), "links")

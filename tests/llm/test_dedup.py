@@ -100,9 +100,11 @@ def test_near_against_brute_force(spark, seed):
     assert got == brute_near(rows)
 
 
-def test_near_in_blocks(spark, monkeypatch):
-    """Groups beyond the limits of a block: bands of size, blocks by hash."""
+@pytest.mark.parametrize("huge", [False, True])
+def test_near_in_blocks(spark, monkeypatch, huge):
+    """Groups beyond the limits of a block: bands of size, blocks by hash; and huge groups by bucket."""
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(near_dedup, "HUGE_DOCS", 30 if huge else 10**6)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     base = [rng.choice(words) for _ in range(150)]
