@@ -15,6 +15,7 @@ from .functions import chunking as K
 from .functions import conventions as C
 from .functions import diacritics as D
 from .functions import g2p as G
+from .functions import korean, levantine
 from .functions import notation as N
 from .functions import numbers as NU
 from .functions import scripts as S
@@ -594,6 +595,47 @@ def strip_case_endings(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", G.strip_case_endings(N.buckwalter_to_arabic("text")).alias("out"))
 
 
+@query("hangul_to_ipa")
+def hangul_to_ipa(spark, sf_dir):
+    return scripted(spark, sf_dir).select("doc_id", korean.hangul_to_ipa("text").alias("out"))
+
+
+@query("hangul_to_yale")
+def hangul_to_yale(spark, sf_dir):
+    return scripted(spark, sf_dir).select("doc_id", korean.hangul_to_yale("text").alias("out"))
+
+
+@query("levantine_to_ipa")
+def levantine_to_ipa(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", levantine.levantine_to_ipa(N.buckwalter_to_arabic("text")).alias("out"))
+
+
+@query("clean_text")
+def clean_text(spark, sf_dir):
+    return scripted(spark, sf_dir).select("doc_id", levantine.clean_text("text").alias("out"))
+
+
+@query("verbalize_english")
+def verbalize_english(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", levantine.verbalize_english("text").alias("out"))
+
+
+@query("verbalize_arabic")
+def verbalize_arabic(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", levantine.verbalize_arabic("text").alias("out"))
+
+
+@query("clause_pieces", "SELECT doc_id, text AS joined FROM documents")
+def clause_pieces(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(K.clause_pieces("text"), "").alias("joined"))
+
+
+@query("retone", "SELECT doc_id, replace(replace(replace(replace(replace(text, 'er', '˧˩˧'), 'th', '˧˥'), 'an', '˥˩'), '˧˩˧', '↓'), '˧˥', '↗').replace('˥˩', '↘') AS out FROM documents")
+def retone(spark, sf_dir):
+    t = F.replace(F.replace(F.replace("text", F.lit("er"), F.lit("˧˩˧")), F.lit("th"), F.lit("˧˥")), F.lit("an"), F.lit("˥˩"))
+    return documents(spark, sf_dir).select("doc_id", G.retone(t).alias("out"))
+
+
 @query("msa_to_levantine", "SELECT doc_id, replace(replace(replace(text, 'q', 'ʔ'), 'ð', 'd'), 'θ', 't') AS out FROM documents")
 def msa_to_levantine(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", G.msa_to_levantine("text").alias("out"))

@@ -7,6 +7,7 @@ from glyphlake.functions import chunking as K
 from glyphlake.functions import conventions as C
 from glyphlake.functions import diacritics as D
 from glyphlake.functions import g2p as G
+from glyphlake.functions import korean, levantine
 from glyphlake.functions import numbers as NU
 from glyphlake.functions import translit as L
 from glyphlake.operators import frontend, gate
@@ -170,3 +171,42 @@ def test_frontend(spark):
         frontend.backend("espeak")
     with pytest.raises(ValueError):
         frontend.backend("nothing")
+
+
+@pytest.mark.parametrize("word, letters, ipa", [
+    ("맏이", "ㅁㅏㅈㅣ", "mädʑi"), ("북한", "ㅂㅜㅋㅏㄴ", "pukʰän"), ("닭", "ㄷㅏㄱ", "täk"), ("닭도", "ㄷㅏㄱㄸㅗ", "täkt*o"), ("값이", "ㄱㅏㅂㅆㅣ", "käps*i"), ("국물", "ㄱㅜㅇㅁㅜㄹ", "kuŋmul"),
+    ("독립", "ㄷㅗㅇㄴㅣㅂ", "toŋnip"), ("신라", "ㅅㅣㄹㄹㅏ", "silla".replace("a", "ä")), ("같이", "ㄱㅏㅊㅣ", "kätɕʰi"), ("학교", "ㅎㅏㄱㄲㅛ", "häkk*jo"), ("나라", "ㄴㅏㄹㅏ", "näɾä"), ("abc", "", ""),
+])
+def test_korean(word, letters, ipa):
+    assert korean.word_letters(word) == letters and korean.ipa_text(word) == ipa
+
+
+def test_korean_column(values):
+    assert values(korean.hangul_to_ipa, "국물  나라", "", None) == ["kuŋmul näɾä", "", None]
+    assert values(korean.hangul_to_yale, "닭도") == ["taktto"]
+
+
+def test_levantine(values):
+    words = {"الشَّمْس": "ʔiʃʃams", "كَتَبَ": "kataba", "بَيْت": "beːt", "صَابُون": "sˤɑːbuːn", "القَمَر": "ʔilʔamar", "هذا": "haːda", "مُدير": "mudjer", "كَتَبْتْلَك": "katabtelak"}
+    assert {w: levantine.levantine_text(w) for w in words} == words
+    assert values(levantine.levantine_to_ipa, "هذا بَيْت", "", None) == ["haːda beːt", "", None]
+    assert [levantine.arabic_number(n) for n in (5, 21, 125, 2005, 3000)] == ["خَمسة", "واحَد وْعِشرين", "مية وْخَمسة وْعِشرين", "أَلفين وْخَمسة", "تْلاتة تْلاف"]
+    assert levantine.verbalized("It cost $5.50 or 20% at 10:30, 9:00 and -3.5", "en") == "It cost five dollars and fifty cents or twenty percent at ten thirty , nine o'clock and minus three point five"
+    assert levantine.english_number(1234) == "one thousand two hundred and thirty-four"
+    assert levantine.cleaned("مـرحبا،  ١٢٣ “x”") == 'مرحبا, 123 "x"'
+
+
+def test_clause_pieces():
+    for text in ("Ola, tudo bem?  sim 10,4", "", "a, b", "...! x", "a,"):
+        assert "".join(K.clause_pieces_text(text)) == text
+    assert K.clause_pieces_text("Ola, tudo bem?  sim 10,4") == ["Ola, ", "tudo bem?  ", "sim 10,4"]
+
+
+def test_match_lang():
+    from glyphlake.plans import languages as P
+
+    assert P.match_lang("ru", ["ru-RU"]) == "ru-RU" and P.match_lang("rus", ["ru-RU"]) == "ru-RU" and P.match_lang("pt-BR", ["pt-PT", "pt-BR"]) == "pt-BR"
+    for bad, error in ((None, P.MissingLanguageError), ("und", P.MissingLanguageError), ("xx", P.UnsupportedLanguageError), ("sr-Latn", P.UnsupportedLanguageError)):
+        with pytest.raises(error):
+            P.match_lang(bad, ["ru-RU", "sr-Cyrl"])
+    assert P.differs_from({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": None}) == ["b"]
