@@ -40,7 +40,12 @@ ALPHABETS = {
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Counts and places are long, as DuckDB has them."""
+            df = fn(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return fn
@@ -155,7 +160,7 @@ def script_totals(spark, sf_dir):
     return aggregates.script_totals(scripted(spark, sf_dir), by=["lang"])
 
 
-@query("script_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {q(s['name'])}, '{s['direction']}', '{s['type']}', {len(s['ranges'])}, {sum(hi - lo + 1 for lo, hi in s['ranges'])})" for c, s in T.SCRIPTS.items()) + ") v(iso15924, name, direction, script_type, n_ranges, n_points)")
+@query("script_registry", "SELECT * REPLACE (n_ranges::BIGINT AS n_ranges, n_points::BIGINT AS n_points) FROM (VALUES " + ", ".join(f"('{c}', {q(s['name'])}, '{s['direction']}', '{s['type']}', {len(s['ranges'])}, {sum(hi - lo + 1 for lo, hi in s['ranges'])})" for c, s in T.SCRIPTS.items()) + ") v(iso15924, name, direction, script_type, n_ranges, n_points)")
 def script_registry(spark, sf_dir):
     return S.registry(spark).groupBy("iso15924", "name", "direction", "script_type").agg(F.count("*").alias("n_ranges"), F.sum(F.expr("hi - lo + 1")).alias("n_points"))
 
@@ -441,7 +446,7 @@ def strip_pinyin(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", C.strip("text", "pinyin-tone").alias("out"))
 
 
-@query("conventions", "SELECT * FROM (VALUES " + ", ".join(f"('{c.id}', '{','.join(c.scripts)}', '{','.join(c.styles)}', '{c.default}', {len(c.transitions)}, {c.detectable}, {c.strip_lossless})" for c in C.CONVENTIONS.values()) + ") v(id, scripts, styles, default_style, n_transitions, detectable, strip_lossless)")
+@query("conventions", "SELECT * REPLACE (n_transitions::BIGINT AS n_transitions) FROM (VALUES " + ", ".join(f"('{c.id}', '{','.join(c.scripts)}', '{','.join(c.styles)}', '{c.default}', {len(c.transitions)}, {c.detectable}, {c.strip_lossless})" for c in C.CONVENTIONS.values()) + ") v(id, scripts, styles, default_style, n_transitions, detectable, strip_lossless)")
 def conventions(spark, sf_dir):
     return C.conventions_table(spark).select("id", F.array_join("scripts", ",").alias("scripts"), F.array_join("styles", ",").alias("styles"), "default_style", F.size("transitions").alias("n_transitions"), "detectable", "strip_lossless")
 
@@ -663,7 +668,7 @@ BELOW_10000 = (
     " || CASE WHEN {n} % 100 > 0 OR {n} = 0 THEN CASE WHEN {n} >= 100 THEN ' ' ELSE '' END || " + BELOW_100.replace("{n}", "({n} % 100)") + " ELSE '' END)")
 
 
-@query("cardinal_words", f"SELECT l_orderkey, l_linenumber, n, {BELOW_10000.replace('{n}', 'n')} AS words FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10000 AS n FROM lineitem)")
+@query("cardinal_words", f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, n, {BELOW_10000.replace('{n}', 'n')} AS words FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10000 AS n FROM lineitem)")
 def cardinal_words(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10000).alias("n"))
     return lookups.number_rows(rows, NU.small_numbers(spark).select("n", "cardinal")).select("l_orderkey", "l_linenumber", "n", F.col("cardinal").alias("words"))
@@ -712,13 +717,13 @@ def _scored(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select((F.col("item_id") % 3).cast("string").alias("category"), ref.alias("expected_ipa"), F.replace(ref, F.lit("th"), F.lit("t")).alias("ipa"), F.replace(ref, F.lit("er"), F.lit("")).alias("before"))
 
 
-@query("per_by_category", f"SELECT (item_id % 3)::varchar AS category, sum(levenshtein({_REF}, {_HYP})) AS n_errors, sum(length({_REF})) AS n_segments, sum(levenshtein({_REF}, {_HYP})) / sum(length({_REF})) AS per FROM benchmark GROUP BY 1")
+@query("per_by_category", f"SELECT (item_id % 3)::varchar AS category, sum(levenshtein({_REF}, {_HYP}))::BIGINT AS n_errors, sum(length({_REF}))::BIGINT AS n_segments, sum(levenshtein({_REF}, {_HYP})) / sum(length({_REF})) AS per FROM benchmark GROUP BY 1")
 def per_by_category(spark, sf_dir):
     return gate.per_by_category(_scored(spark, sf_dir))
 
 
 _CHANGE = f"levenshtein({_REF}, replace({_REF}, 'er', '')) - levenshtein({_REF}, {_HYP})"
-_COMPARE = f"SELECT (item_id % 3)::varchar AS category, sum(length({_REF})) AS n_segments, sum({_CHANGE}) / sum(length({_REF})) AS gain, max(abs({_CHANGE})) / sum(length({_REF})) AS noise FROM benchmark GROUP BY 1"
+_COMPARE = f"SELECT (item_id % 3)::varchar AS category, sum(length({_REF}))::BIGINT AS n_segments, sum({_CHANGE}) / sum(length({_REF})) AS gain, max(abs({_CHANGE})) / sum(length({_REF})) AS noise FROM benchmark GROUP BY 1"
 
 
 @query("compare_outputs", _COMPARE)
@@ -731,7 +736,7 @@ def verdict(spark, sf_dir):
     return gate.verdict(gate.compare(_scored(spark, sf_dir), "before", "ipa"), "0")
 
 
-@query("exact_match_rate", "SELECT lang, sum((lower(text) = text)::int) AS n_exact, count(*) AS n, avg((lower(text) = text)::int) AS exact_rate FROM documents GROUP BY lang")
+@query("exact_match_rate", "SELECT lang, sum((lower(text) = text)::int)::BIGINT AS n_exact, count(*) AS n, avg((lower(text) = text)::int) AS exact_rate FROM documents GROUP BY lang")
 def exact_match_rate(spark, sf_dir):
     return aggregates.exact_match_rate(documents(spark, sf_dir).withColumn("low", F.lower("text")), "low", "text", ["lang"])
 
