@@ -20,6 +20,8 @@ DIMENSIONS = 4096
 CENTROIDS = 4
 #: Texts of each language, and of all, that a fit reads, about; and their longest in characters.
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 600, 4000, 50_000
+#: Languages that a fit learns at most.
+LANGUAGES = 400
 #: A text is rejected below this share of the least cosine that the language's training texts have to their nearest centroid.
 MARGIN = 0.4
 UNKNOWN = "und"
@@ -114,7 +116,8 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on (doc_id, text, lang) with non-null text and lang and crc32(doc_id) mod 4 other than 2."""
     usable = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(split_remainder(F.col("doc_id")) != 2).where(F.length("text") <= SAMPLE_CHARS)
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    # the fit knows so many languages at most, those with most texts; what is collected is a row for each
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     sample = min(sample, max(1, SAMPLE_ALL // max(1, len(sizes))))
     share = F.lit(0.0)
     for lang, n in sizes.items():
