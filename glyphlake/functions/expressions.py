@@ -37,6 +37,17 @@ def map_literal(table: dict[str, str]) -> Column:
     return F.map_from_arrays(F.array(*(F.lit(k) for k in table)), F.array(*(F.lit(v) for v in table.values())))
 
 
+def looked_up(table: dict[str, str], key: Column) -> Column:
+    """The key's value, or null.  Spark walks through a map, so a large one is parted by the keys' first characters."""
+    if len(table) <= 24:
+        return F.element_at(map_literal(table), key)
+    groups: dict[str, dict[str, str]] = {}
+    for k, v in table.items():
+        groups.setdefault(k[:1], {})[k] = v
+    parted = F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*map(map_literal, groups.values())))
+    return F.element_at(F.element_at(parted, F.substring(key, 1, 1)), key)
+
+
 def strip_class(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import mapped
-from .expressions import WS, char_class, checked, col, map_literal
+from .expressions import WS, char_class, checked, col, looked_up, map_literal
 from .tables import (
     ARPA, ARPA_RESPELT, ARPA_SYLLABIC, ARPA_UNSTRESSED, ARPA_VOWELS, BUCKWALTER, COTOVIA, DESCENDERS, HALABI_CONSONANTS, HALABI_LONG, HALABI_VOWELS, IPA_ALSO_ARPA, IPA_MARKS, IPA_RANGES,
     IQRA_CONSONANTS, IQRA_VOWELS, KIRSHENBAUM, LEXIQUE, NOTATION_INFO, RFE, WHITE_SPACE, XSAMPA,
 )
-from .transcode import error, transcode
+from .transcode import error, split_form, transcode
 
 
 def inverted(table: dict[str, str], **pinned: str) -> dict[str, str]:
@@ -57,11 +57,11 @@ def _unknown_token(errors: str, notation: str, replacement=lambda x: F.lit("?"))
 
 def arpa_to_ipa(text: str | Column, errors: str = "pass", stress: bool = False) -> Column:
     """Tokens at white space; digits of stress become marks before vowels if asked for."""
-    full, base, other = map_literal(ARPA_IPA), map_literal(ARPA), _unknown_token(errors, "arpa")
+    other = _unknown_token(errors, "arpa")
     vowels = F.array(*map(F.lit, ARPA_VOWELS))
 
     def one(x, i):
-        ipa = F.coalesce(F.element_at(full, x), F.element_at(base, F.regexp_replace(x, "[012]+$", "")))
+        ipa = F.coalesce(looked_up(ARPA_IPA, x), F.when(x.rlike("[012]$"), looked_up(ARPA, F.regexp_replace(x, "[012]+$", ""))))
         if stress:
             stressed = F.array_contains(vowels, F.regexp_replace(x, "[12]$", ""))
             ipa = F.concat(F.when(stressed & x.endswith("1"), "ˈ").when(stressed & x.endswith("2"), "ˌ").otherwise(""), ipa)
@@ -112,11 +112,10 @@ def ipa_to_arpa(text: str | Column, unknown: str = "?", errors: str = "replace",
     checked(errors)
     if stress or errors == "strict":
         return mapped(lambda t: ipa_to_arpa_text(t, unknown, errors, stress))(text)
-    known = map_literal(IPA_ARPA)
     parts = F.regexp_extract_all(col(text), F.lit("(?s)" + "|".join("".join(f"\\x{{{ord(c):X}}}" for c in k) for k in sorted(IPA_ARPA, key=len, reverse=True)) + "|."), F.lit(0))
     other = {"pass": lambda x: x, "replace": lambda x: F.lit(unknown or None).cast("string"), "ignore": lambda x: F.lit(None).cast("string")}[errors]
     silent = rf"^(?:{WS}|[ˈˌ\p{{Mn}}\p{{Mc}}\p{{Me}}\p{{Lm}}\p{{Sk}}])$"
-    mapped_parts = F.transform(parts, lambda x: F.coalesce(F.element_at(known, x), F.when(~x.rlike(silent), other(x))))
+    mapped_parts = F.transform(parts, lambda x: F.coalesce(looked_up(IPA_ARPA, x), F.when(~x.rlike(silent), other(x))))
     return F.array_join(F.filter(mapped_parts, lambda x: x.isNotNull()), " ")
 
 
@@ -130,19 +129,27 @@ _IPA_XS_SYMBOL = re.compile("|".join(map(re.escape, sorted(IPA_XSAMPA, key=len,
 def xsampa_to_ipa(text: str | Column, errors: str = "pass") -> Column:
     """Longest symbols first, but a backslash goes with the character before it; a tone number is one unknown symbol."""
     quoted = lambda k: "".join(f"\\x{{{ord(c):X}}}" for c in k)
-    pattern = "|".join([quoted(k) for k in _XS_KEYS if len(k) > 2] + [r"_(?=[^\\]\\)", "_[1-6]", "_`"] + [quoted(k) for k in _XS_KEYS if len(k) <= 2])
-    parts, known = F.regexp_extract_all(col(text), F.lit(f"(?s){pattern}|."), F.lit(0)), map_literal(XSAMPA)
-    blank = lambda x: x.rlike(f"^{WS}$")
-    if checked(errors) == "strict":
-        place = lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), ""))
-        return F.array_join(F.transform(parts, lambda x, i: F.coalesce(F.element_at(known, x), F.when(blank(x), x), error(x, place(i), "x-sampa"))), "")
-    other = {"pass": lambda x: x, "replace": lambda x: F.when(blank(x), x).otherwise("?"), "ignore": lambda x: F.when(blank(x), x).otherwise("")}[errors]
-    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.element_at(known, x), other(x))), "")
+    long = [quoted(k) for k in _XS_KEYS if len(k) > 2] + [r"_(?=[^\\]\\)", "_[1-6]", "_`"] + [quoted(k) for k in _XS_KEYS if len(k) == 2]
+    if checked(errors) != "strict":
+        first, second = ({k[i] for k in _XS_KEYS if len(k) > 1} for i in (0, 1))
+        # a match begins with a long key's first two characters, or with a _ that yields to the pair after it or bears a tone number
+        pattern = f"(?=_|{char_class(sorted(first))}{char_class(sorted(second))})(?:{'|'.join(long)})"
+        return split_form(col(text), XSAMPA, pattern, errors)
+    parts = F.regexp_extract_all(col(text), F.lit(f"(?s){'|'.join([*long, *(quoted(k) for k in _XS_KEYS if len(k) == 1)])}|."), F.lit(0))
+    place = lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), ""))
+    return F.array_join(F.transform(parts, lambda x, i: F.coalesce(looked_up(XSAMPA, x), F.when(x.rlike(f"^{WS}$"), x), error(x, place(i), "x-sampa"))), "")
+
+
+#: What needs a look at its neighbours: symbols of several characters, tie bars, the ring above.  Texts without are translated at once.
+_IPA_XS_SPECIAL = re.compile("|".join([re.escape(k) for k in IPA_XSAMPA if len(k) > 1] + ["[\u035c\u0361\u030a]"]))
+_IPA_XS_SINGLE = str.maketrans({k: v for k, v in IPA_XSAMPA.items() if len(k) == 1})
 
 
 def ipa_to_xsampa_text(text: str, errors: str = "pass") -> str:
     """One text, decomposed first.  A tie bar goes where it would read as part of the next symbol."""
     text = unicodedata.normalize("NFD", text)
+    if errors == "pass" and not _IPA_XS_SPECIAL.search(text):
+        return text.translate(_IPA_XS_SINGLE)
     out: list[str] = []
     at = 0
     while at < len(text):
@@ -195,7 +202,7 @@ def halabi_tokens(text: str | Column) -> Column:
 def halabi_to_ipa(text: str | Column, errors: str = "pass", tokenised: bool = False) -> Column:
     """A string, or with `tokenised` an array of tokens.  The doubling sign lengthens a consonant before it, once."""
     tokens = col(text) if tokenised else halabi_tokens(text)
-    sounds = map_literal(HALABI_CONSONANTS | HALABI_VOWELS | {"<": "ʔ"})
+    sounds = HALABI_CONSONANTS | HALABI_VOWELS | {"<": "ʔ"}
     marks = map_literal({"_sil_": " ", "_+_": " ", "_eos_": "", "_pad_": ""})
     other = _unknown_token(errors, "halabi")
     kept = rf"^(?:{WS}|[.,;:!?()\[\]{{}}\"'])$"
@@ -205,15 +212,15 @@ def halabi_to_ipa(text: str | Column, errors: str = "pass", tokenised: bool = Fa
         # a doubling sign counts where the nearest token before it that is none is a consonant, and it is the first after it
         before = F.get(tokens, i - 1)
         mark = F.when(F.array_contains(doubled, before), "ː").otherwise("")
-        return F.when(x == "_dbl_", mark).otherwise(F.coalesce(F.element_at(marks, x), F.element_at(sounds, x), F.when(x.rlike(kept), x), other(x, i)))
+        return F.when(x == "_dbl_", mark).otherwise(F.coalesce(F.element_at(marks, x), looked_up(sounds, x), F.when(x.rlike(kept), x), other(x, i)))
 
     return F.array_join(F.transform(tokens, one), "")
 
 
 def iqra_halabi_to_ipa(text: str | Column, errors: str = "pass") -> Column:
     """Tokens at white space; a doubled consonant is long.  The result has no spaces."""
-    known, other = map_literal(IQRA), _unknown_token(errors, "halabi", lambda x: F.concat(F.lit("{{"), x, F.lit("}}")))
-    return F.array_join(F.transform(_tokens(col(text)), lambda x, i: F.coalesce(F.element_at(known, x), other(x, i))), "")
+    other = _unknown_token(errors, "halabi", lambda x: F.concat(F.lit("{{"), x, F.lit("}}")))
+    return F.array_join(F.transform(_tokens(col(text)), lambda x, i: F.coalesce(looked_up(IQRA, x), other(x, i))), "")
 
 
 def looks_like_ipa(text: str | Column) -> Column:

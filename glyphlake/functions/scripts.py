@@ -41,12 +41,29 @@ def char_script(ch: str | Column) -> Column:
     return F.when(F.length(ch) == 1, _of_code_point(F.ascii(ch)))
 
 
+#: What most texts are made of, and the part of it that is letters.
+COMMON, COMMON_LETTERS = char_class(ranges=[(0, 0x24F)]), char_class(ranges=[(lo, hi) for lo, hi in SCRIPTS["Latn"]["ranges"] if hi <= 0x24F])
+
+
 def _counts(text: Column) -> Column:
-    """array of struct(n, code) of all scripts.  Basic Latin, most of most texts, is cut out before the others are counted."""
-    rest = F.regexp_replace(text, char_class(ranges=[(0, 0x24F)]), "")
-    return let(rest, lambda r: F.array(
-        F.struct(F.regexp_count(text, F.lit(CLASSES["Latn"])).alias("n"), F.lit("Latn").alias("code")),
-        *(F.struct(F.regexp_count(r, F.lit(c)).alias("n"), F.lit(code).alias("code")) for code, c in CLASSES.items() if code != "Latn")))
+    """array of struct(n, code) of the scripts that the text may have.
+
+    Basic Latin is counted by a small class and cut out; then each script's characters are cut out in turn, until nothing is left: most texts are
+    through after one or two steps.
+    """
+    steps = F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(code).alias("code")) for code, c in CLASSES.items()))
+
+    def step(acc: Column, s: Column) -> Column:
+        cut = let(F.regexp_replace(acc["rest"], s["cls"], F.lit("")), lambda left: F.struct(
+            left.alias("rest"), F.concat(acc["counts"], F.array(F.struct((F.length(acc["rest"]) - F.length(left)).alias("n"), s["code"].alias("code")))).alias("counts")))
+        return F.when(acc["rest"] == "", acc).otherwise(cut)
+
+    nothing = F.array().cast("array<struct<n:int,code:string>>")
+    found = F.aggregate(steps, F.struct(F.regexp_replace(text, COMMON, "").alias("rest"), nothing.alias("counts")), step)["counts"]
+    # Latin letters beyond the common ones add to those
+    return let(found, lambda f: F.concat(
+        F.filter(f, lambda x: x["code"] != "Latn"),
+        F.array(F.struct((F.regexp_count(text, F.lit(COMMON_LETTERS)) + F.coalesce(F.get(F.filter(f, lambda x: x["code"] == "Latn"), F.lit(0))["n"], F.lit(0))).alias("n"), F.lit("Latn").alias("code")))))
 
 
 def script_count(text: str | Column, code: str) -> Column:
@@ -79,8 +96,10 @@ def script_runs(text: str | Column) -> Column:
 def base_direction(text: str | Column) -> Column:
     """ltr or rtl, whichever has more characters; mixed if equal or none."""
     text = col(text)
-    rtl, ltr = F.regexp_count(text, F.lit(RTL)), F.regexp_count(text, F.lit(LTR))
-    return F.when(rtl > ltr, "rtl").when(ltr > rtl, "ltr").when(text.isNotNull(), "mixed")
+    counted = let(F.regexp_replace(text, COMMON, ""), lambda rest: F.struct(
+        F.regexp_count(rest, F.lit(RTL)).alias("rtl"), (F.regexp_count(text, F.lit(COMMON_LETTERS)) + F.regexp_count(rest, F.lit(LTR))).alias("ltr")))
+    decided = let(counted, lambda c: F.when(c["rtl"] > c["ltr"], "rtl").when(c["ltr"] > c["rtl"], "ltr").otherwise("mixed"))
+    return F.when(text.isNotNull(), decided)
 
 
 _LABELS = {code.lower(): code for code in SCRIPTS} | LABEL_SCRIPT
