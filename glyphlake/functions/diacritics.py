@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,6 +70,31 @@ def strip_diacritics(text: str | Column, lang: str = "und") -> Column:
     return strip_class(text, char_class(ranges=MARKS[found]))
 
 
+#: family -> column function of (text, lang), added by register_diacritizer().
+DIACRITIZERS: dict[str, Callable[[Column, str], Column]] = {}
+
+
+def register_diacritizer(name: str, fn: Callable[[Column, str], Column]) -> None:
+    """An engine that writes the marks of a family (he, ar, stress, pt), or one to be asked for by name."""
+    DIACRITIZERS[name] = fn
+
+
+def diacritize(text: str | Column, lang: str = "und", model: str | None = None) -> Column:
+    """The text with its language's marks written by the family's engine; a language of no family stays as it is.
+
+    An engine that was not registered is an error when the plan is made.
+    """
+    found = family(lang)
+    if found == "stress" and not is_stress_lang(lang):
+        raise ValueError(f"{lang!r} needs a script subtag, or must not have this one")
+    if found is None:
+        return col(text)
+    name = model or found
+    if name not in DIACRITIZERS:
+        raise ImportError(f"no engine for {name!r}; register_diacritizer({name!r}, fn) adds one")
+    return DIACRITIZERS[name](col(text), lang)
+
+
 def stress_vowels(lang: str) -> str:
     primary, script, _ = _tag(lang)
     primary = {"rus": "ru", "ukr": "uk", "bel": "be", "bul": "bg", "mkd": "mk"}.get(primary, primary)

@@ -21,6 +21,7 @@ from .functions import numbers as NU
 from .functions import scripts as S
 from .functions import tables as T
 from .functions import translit as L
+from .functions import verbalize
 from .functions.expressions import alternation, char_class
 from .operators import aggregates, frontend, gate, lookups, runs
 from .plans import graph as P
@@ -560,7 +561,7 @@ def frontend_flat(spark, sf_dir):
 
 @query("frontend_segments")
 def frontend_segments(spark, sf_dir):
-    return frontend.Frontend(casing=F.lower, chunk="clause").segments(documents(spark, sf_dir))
+    return frontend.Frontend(normalize=verbalize.english_words, casing=F.lower, chunk="clause").segments(documents(spark, sf_dir))
 
 
 @query("frontend_prepare", r"SELECT doc_id, lower(text) AS out FROM documents WHERE NOT contains(text, '[[')")
@@ -625,6 +626,11 @@ def verbalize_english(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", levantine.verbalize_english("text").alias("out"))
 
 
+@query("english_words")
+def english_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", verbalize.english_words("text").alias("out"))
+
+
 @query("verbalize_arabic")
 def verbalize_arabic(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", levantine.verbalize_arabic("text").alias("out"))
@@ -690,6 +696,11 @@ def chinese_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", NU.chinese_column(F.format_string("%.2f", "p_retailprice")).alias("words"))
 
 
+@query("chinese_text")
+def chinese_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", NU.chinese_text_column("text").alias("out"))
+
+
 # ---- lookups and evaluation
 
 @query("best_pronunciations", "SELECT word, arg_max(phones, struct_pack(p := prob, l := -line)) AS phones FROM (SELECT p_brand AS word, p_retailprice AS prob, p_name AS phones, p_partkey AS line FROM part) GROUP BY word")

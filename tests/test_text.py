@@ -2,6 +2,7 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphlake.functions import chunking as K
 from glyphlake.functions import conventions as C
@@ -118,6 +119,22 @@ def test_numbers():
     assert [NU.chinese(x) for x in ("10", "1010", "10010", "100100", "3.20", ".22", "0", "105", "120000000", "100000001", "1000010", "")] == ["十", "一千零一十", "一万零一十", "十万零一百", "三点二", "零点二二", "零", "一百零五", "一亿二千万", "一亿零一", "一百万零一十", ""]
 
 
+def test_chinese_text():
+    assert NU.chinese_text("涨了50%，占1/3，-5度，3-5天，2024年，13800138000") == "涨了百分之五十，占三分之一，负五度，三到五天，二零二四年，幺三八零零幺三八零零零"
+    assert NU.chinese_text("１２３") == NU.chinese_text("123") == "一百二十三"
+
+
+def test_diacritize(values):
+    assert values(lambda c: D.diacritize(c, "en"), "a", None) == ["a", None]
+    with pytest.raises(ImportError):
+        D.diacritize("t", "he")
+    with pytest.raises(ValueError):
+        D.diacritize("t", "az")
+    D.register_diacritizer("he", lambda c, lang: F.concat(c, F.lit(f"+{lang}")))
+    assert values(lambda c: D.diacritize(c, "he-IL"), "a") == ["a+he-IL"]
+    D.DIACRITIZERS.clear()
+
+
 def test_spans():
     assert G.language_spans_text("مرحبا hello 12!") == [("مرحبا", "ar"), ("hello 12!", "en")]
     assert G.language_spans_text("12 abc") == [("12 abc", "en")] and G.language_spans_text("") == []
@@ -160,19 +177,56 @@ def test_segments(values):
 
 
 def test_frontend(spark):
-    df = spark.createDataFrame([(1, "Olá [[ˈana]], tudo BEM? Sim."), (2, ""), (3, "[[ ]] x")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "Olá [[ˈana]], tudo BEM? Sim."), (2, ""), (3, "[[ ]] x"), (4, None), (5, "!!!")], "doc_id long, text string")
     front = frontend.Frontend()
     flat = {r.doc_id: r.phonemes for r in front.flat(df).collect()}
-    assert flat[1].startswith("olá ˈana") and flat[1].endswith("sim.") and flat[3] == "x" and 2 not in flat
-    assert {r.doc_id: r.unread for r in front.unread(df).collect()} == {1: False, 2: False, 3: False}
-    staged = frontend.Frontend(normalize=lambda c: __import__("pyspark").sql.functions.upper(c))
-    assert [r[0] for r in df.orderBy("doc_id").select(staged.prepare("text")).collect()][0] == "OLÁ [[ˈana]], TUDO BEM? SIM."
+    assert flat[1] == "olá ˈana tudo bem sim" and flat[3] == "x" and 2 not in flat and 4 not in flat
+    assert {r.doc_id: r.unread for r in front.unread(df).collect()} == {1: False, 2: False, 3: False, 4: None, 5: False}
+    upper = frontend.Frontend(normalize=F.upper)
+    assert df.where("doc_id = 1").select(upper.prepare("text")).first()[0] == "OLÁ [[ˈana]], TUDO BEM? SIM."
+    assert frontend.Frontend(normalize=F.upper, owned=frozenset(["normalize"]))._stage("normalize")("t") == "t"
     with pytest.raises(ImportError):
         frontend.backend("espeak")
     with pytest.raises(ValueError):
         frontend.backend("nothing")
 
 
+PIECES = [
+    ("sentence", "Olá mundo. Tudo bem?", ["Olá mundo.", "Tudo bem?"]), ("clause", "Olá, mundo. Tudo bem?", ["Olá,", "mundo.", "Tudo bem?"]), ("paragraph", "Olá mundo. Tudo bem?", ["Olá mundo. Tudo bem?"]),
+    ("none", "a\n\nb", ["a\n\nb"]), ("sentence", "Ab [[xy]] cd. Ef.", ["Ab [[xy]]", "cd.", "Ef."]), ("sentence", "a [[x]] b [[y]] c.", ["a [[x]]", "b [[y]]", "c."]), ("clause", "[[ana]].", ["[[ana]]."]),
+    ("sentence", "Olá [[ana]], tudo bem?", ["Olá [[ana]],", "tudo bem?"]), ("sentence", "Olá [[ana]]! Tudo bem?", ["Olá [[ana]]!", "Tudo bem?"]), ("sentence", "[[ana]] Olá.", ["[[ana]]", "Olá."]), ("sentence", "", []),
+]
+
+
+@pytest.mark.parametrize("chunk, text, expected", PIECES)
+def test_pieces(chunk, text, expected):
+    assert [s for _, s in frontend.pieces_text(text, chunk, K.sentences_text)] == expected
+
+
+def test_stage_order(spark):
+    """Normalised and cased whole, each sentence with its marks, then the backend, without punctuation."""
+    add = lambda mark: lambda c: F.concat(F.lit(mark), c)
+    front = frontend.Frontend(normalize=add("N"), casing=F.lower, diacritize=add("d"), backend=lambda c: F.concat(c, F.lit("!")))
+    df = spark.createDataFrame([(1, "Ab. Cd.")], "doc_id long, text string")
+    rows = front.segments(df).orderBy("seg").collect()
+    assert [(r.source, r.phonemes) for r in rows] == [("nab. cd.", "dnab cd!")]  # lower case begins no sentence
+    rows = frontend.Frontend(normalize=add("N"), diacritize=add("d"), backend=lambda c: c).segments(df).orderBy("seg").collect()
+    assert [r.phonemes for r in rows] == ["dNAb", "dCd"]
+
+
+@pytest.mark.parametrize("text, said", [
+    ("It cost $5.50 and £3m, or 20 EUR.", "It cost five dollars and fifty cents and three million pounds, or twenty euros."), ("at 10:30 pm, 20:00, 0:00, 2:03:45", "at ten thirty P M, twenty hundred, midnight, two hours, three minutes and forty five seconds"),
+    ("16:9, 1:25,000", "sixteen to nine, one to twenty five thousand"), ("3/4/2021, 25/12/2020, 2021-03-04, 15.11.2026", "March fourth twenty twenty one, December twenty fifth twenty twenty, March fourth twenty twenty one, November fifteenth twenty twenty six"),
+    ("22 February 2024 and Jan. 5, 1999", "the twenty second of February twenty twenty four and January fifth nineteen ninety nine"), ("800-555-0199", "eight hundred, five five five, oh one nine nine"),
+    ("5 km, 1 kg, 10-20 mph, 120 m²", "five kilometers, one kilogram, ten to twenty miles per hour, one hundred twenty square meters"), ("12% of 3 1/2, 3/4, 24/7, 1½, ½", "twelve percent of three and a half, three quarters, twenty four seven, one and a half, one half"),
+    ("the 21st, 1990s and '80s", "the twenty first, nineteen nineties and eighties"), ("RTX 4070 in 1984, 007, 1,234.5", "RTX forty seventy in nineteen eighty four, zero zero seven, one thousand two hundred thirty four point five"), ("no figures", "no figures"), ("", ""),
+])
+def test_english_verbaliser(text, said):
+    from glyphlake.functions.verbalize import english
+
+    assert english(text) == said
+
+
 @pytest.mark.parametrize("word, letters, ipa", [
     ("맏이", "ㅁㅏㅈㅣ", "mädʑi"), ("북한", "ㅂㅜㅋㅏㄴ", "pukʰän"), ("닭", "ㄷㅏㄱ", "täk"), ("닭도", "ㄷㅏㄱㄸㅗ", "täkt*o"), ("값이", "ㄱㅏㅂㅆㅣ", "käps*i"), ("국물", "ㄱㅜㅇㅁㅜㄹ", "kuŋmul"),
     ("독립", "ㄷㅗㅇㄴㅣㅂ", "toŋnip"), ("신라", "ㅅㅣㄹㄹㅏ", "silla".replace("a", "ä")), ("같이", "ㄱㅏㅊㅣ", "kätɕʰi"), ("학교", "ㅎㅏㄱㄲㅛ", "häkk*jo"), ("나라", "ㄴㅏㄹㅏ", "näɾä"), ("abc", "", ""),
