@@ -54,12 +54,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = sources.table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang")
 
 
 def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,9 +563,9 @@ def frontend_segments(spark, sf_dir):
     return frontend.Frontend(normalize=verbalize.english_words, casing=F.lower, chunk="clause").segments(documents(spark, sf_dir))
 
 
-@query("frontend_prepare", r"SELECT doc_id, lower(text) AS out FROM documents WHERE NOT contains(text, '[[')")
+@query("frontend_prepare", "SELECT doc_id, lower(text) AS out FROM documents")
 def frontend_prepare(spark, sf_dir):
-    return documents(spark, sf_dir).where(~F.col("text").contains("[[")).select("doc_id", frontend.Frontend(casing=F.lower).prepare("text").alias("out"))
+    return documents(spark, sf_dir).select("doc_id", frontend.Frontend(casing=F.lower).prepare("text").alias("out"))
 
 
 @query("frontend_unread", r"SELECT doc_id, false AS unread FROM documents")
@@ -579,7 +578,7 @@ def frontend_unread(spark, sf_dir):
 @query("russian_phonemes")
 def russian_phonemes(spark, sf_dir):
     entries = spark.createDataFrame([("и", None, ["i0"], 0), ("на", 0.4, ["n", "a0"], 1), ("на", 0.6, ["n", "a1"], 2)], "word string, prob double, phones array<string>, line long")
-    return lookups.russian_phonemes(scripted(spark, sf_dir).where("doc_id % 7 = 1"), entries)
+    return lookups.russian_phonemes(scripted(spark, sf_dir), entries)
 
 
 @query("language_spans")

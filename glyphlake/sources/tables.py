@@ -10,6 +10,23 @@ CATEGORIES = ("plain", "number", "date", "abbreviation", "homograph", "contact")
 TIERS = ("gold", "silver")
 
 
+#: Tables of this size in fewer files than there are cores are dealt out; a smaller one isn't worth it, and a larger one has row groups to split.
+SPREAD_FROM, SPREAD_TO = 4 << 20, 256 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The table dealt out by a key where a file with one row group would keep a whole machine to one core; else the table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if SPREAD_FROM <= size <= SPREAD_TO and len(df.inputFiles()) < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A Parquet table of a folder, dealt out by its key if it is one small file."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, key) if key else df
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value: each line without its end, blank ones as they are."""
     return spark.read.text(path).select(F.regexp_replace("value", r"[\r\n]+$", "").alias("value"))
