@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from ..sources import tables as sources
 
 #: Bytes of one Arrow batch on its way to a Python worker; very long texts then travel in small batches.
 BATCH_BYTES = 8 << 20
@@ -78,7 +79,8 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; one small file is dealt out by its key, as all that follows is work on texts."""
+    return sources.table(spark, sf_dir, name, {"documents": "doc_id", "pages": "page_id"}.get(name))
 
 
 def split_remainder(doc_id: Column) -> Column:
