@@ -23,7 +23,7 @@ from .functions import tables as T
 from .functions import translit as L
 from .functions import verbalize
 from .functions.expressions import alternation, char_class
-from .operators import aggregates, frontend, gate, lookups, runs
+from .operators import aggregates, alignment, frontend, gate, lookups, runs
 from .plans import graph as P
 from .sources import tables as sources
 from .streaming import transform as streams
@@ -573,6 +573,16 @@ def frontend_unread(spark, sf_dir):
     return frontend.Frontend(chunk="none").unread(documents(spark, sf_dir))
 
 
+@query("spoken_sentences")
+def spoken_sentences(spark, sf_dir):
+    return frontend.spoken_sentences(documents(spark, sf_dir))
+
+
+@query("bare_sentences")
+def bare_sentences(spark, sf_dir):
+    return frontend.spoken_sentences(documents(spark, sf_dir), keep_punctuation=False)
+
+
 # ---- reading rules and numbers
 
 @query("russian_phonemes")
@@ -708,6 +718,14 @@ def best_pronunciations(spark, sf_dir):
     return lookups.best_pronunciations(entries).select("word", F.array_join("phones", " ").alias("phones"))
 
 
+@query("aligned_letters")
+def aligned_letters(spark, sf_dir):
+    """Words of part names with their letters as phonemes, each th one phoneme: a table is trained on all and aligns all."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    entries = words.withColumn("phones", F.regexp_extract_all("word", F.lit("th|sh|[a-z]"), F.lit(0)))
+    return entries.select("word", F.array_join(alignment.align("word", "phones", alignment.train(entries, 3)), "|").alias("letters"))
+
+
 @query("variants", "SELECT p_brand AS word, string_agg(p_name, '|' ORDER BY p_retailprice DESC, p_partkey) AS variants FROM part GROUP BY p_brand HAVING count(*) > 1")
 def variants(spark, sf_dir):
     entries = table(spark, sf_dir, "part").select(F.col("p_brand").alias("word"), F.col("p_retailprice").alias("prob"), F.split("p_name", " ").alias("phones"), F.col("p_partkey").alias("line"))

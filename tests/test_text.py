@@ -264,3 +264,28 @@ def test_match_lang():
         with pytest.raises(error):
             P.match_lang(bad, ["ru-RU", "sr-Cyrl"])
     assert P.differs_from({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": None}) == ["b"]
+
+
+def test_spoken_sentences(spark):
+    df = spark.createDataFrame([(1, "Olá, \"Ana\", tudo bem! Estás pronta? Sim."), (2, ""), (3, "..."), (4, None)], "doc_id long, text string")
+    out = [(r.doc_id, r.sentence, r.phonemes) for r in frontend.spoken_sentences(df).orderBy("doc_id", "sentence").collect()]
+    assert out == [(1, 0, "olá, ana, tudo bem!"), (1, 1, "estás pronta?"), (1, 2, "sim.")]
+    bare = [r.phonemes for r in frontend.spoken_sentences(df, keep_punctuation=False).orderBy("doc_id", "sentence").collect()]
+    assert " ".join(bare) == "olá ana tudo bem estás pronta sim"
+
+
+def test_alignment(spark):
+    from glyphlake.operators import alignment
+
+    words = {"thin": "TH IH1 N", "this": "DH IH1 S", "tin": "T IH1 N", "hit": "HH IH1 T", "sit": "S IH1 T", "sin": "S IH1 N", "nit": "N IH1 T", "math": "M AE1 TH", "mat": "M AE1 T", "hat": "HH AE1 T", "path": "P AE1 TH", "pat": "P AE1 T"}
+    entries = spark.createDataFrame([(w, p.split()) for w, p in words.items()] + [("toolongaword", ["T"])], "word string, phones array<string>").repartition(3)
+    table = alignment.train(entries, 6)
+    assert alignment.aligned("thin", ["TH", "IH1", "N"], table) == ["th", "i", "n"]
+    assert alignment.aligned("path", ["P", "AE1", "TH"], table) == ["p", "a", "th"]
+    assert alignment.aligned("toolongaword", ["T"], table) is None
+    by = {}
+    for (phone, _), p in table.items():
+        by[phone] = by.get(phone, 0) + p
+    assert all(abs(v - 1) < 1e-3 for v in by.values())
+    got = {r.word: r.a for r in entries.select("word", alignment.align("word", "phones", table).alias("a")).collect()}
+    assert got["mat"] == ["m", "a", "t"] and got["toolongaword"] is None
