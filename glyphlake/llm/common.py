@@ -54,12 +54,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 MERGE_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, codec: str = "zstd", narrow: bool = False) -> tuple[DataFrame, str]:
     """The table written to the shared folder and read back, and its path: lineage ends here and survives executors.
 
-    While it is written, Spark merges small partitions up to its advisory size, so that a small table is not spread over many files.
+    While it is written, Spark merges small partitions up to its advisory size, so that a small table is not spread over many files.  A narrow table, of
+    rows of a few integers, is written by two tasks a core at most.
     """
     spark = df.sparkSession
+    df = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism)) if narrow else df
     path = new_path(spark, name)
     before = spark.conf.get(MERGE_FIRST)
     spark.conf.set(MERGE_FIRST, "false")

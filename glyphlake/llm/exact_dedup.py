@@ -91,7 +91,7 @@ def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = B
 
     # Level 0 sorts contents.  Each row is one task's first sight of a block: a common block has one row for each task.
     firsts = cut.where("content is not null").select("content", "local").repartition("content").sortWithinPartitions("content")
-    level, _ = written(cut.drop("content").join(_named(firsts), "local").select("row", "doc", "block", "blocks", "name", "chars", "sha"), "names")
+    level, _ = written(cut.drop("content").join(_named(firsts), "local").select("row", "doc", "block", "blocks", "name", "chars", "sha"), "names", narrow=True)
     removed(df.sparkSession, cut_path)
 
     # Each further level sorts pairs of names.
@@ -101,9 +101,9 @@ def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = B
         pairs, pairs_path = written(
             rest.groupBy("row", "doc", "blocks", "left", F.expr("cast(block div 2 as int)").alias("block")).agg(
                 F.min_by("name", "block").alias("a"), F.when(F.count("*") > 1, F.max_by("name", "block")).otherwise(F.lit(-1)).alias("b"), F.min("chars").alias("chars"), F.min("sha").alias("sha")),
-            "pairs")
-        ranked, ranked_path = written(pairs.select("a", "b").distinct().repartition("a", "b").sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()), "ranked")
-        rest, _ = written(pairs.join(ranked, ["a", "b"]).select("row", "doc", "block", "blocks", "name", "chars", "sha", F.expr("cast((left + 1) div 2 as int)").alias("left")), "names")
+            "pairs", narrow=True)
+        ranked, ranked_path = written(pairs.select("a", "b").distinct().repartition("a", "b").sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()), "ranked", narrow=True)
+        rest, _ = written(pairs.join(ranked, ["a", "b"]).select("row", "doc", "block", "blocks", "name", "chars", "sha", F.expr("cast((left + 1) div 2 as int)").alias("left")), "names", narrow=True)
         removed(df.sparkSession, pairs_path, ranked_path)
         done, rest = done.unionByName(rest.where("left = 1").select(found)), rest.where("left > 1")
     return done

@@ -183,7 +183,7 @@ def classes(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     source = df.select(F.col(url).alias("url"), F.col(page).alias("page"))
     grouped = source.mapInArrow(lean(_tokens), TOKENS).groupBy("host", "token").agg(
         F.min("path").alias("path"), *(F.sum(c).alias(c) for c in ("sum1", "sum2", "pages", "total")), F.max("most").alias("most"), F.sum("chars").alias("chars"))
-    grouped, _ = written(grouped.where(f"pages >= {LEAST_PAGES}"), "tokens")
+    grouped, _ = written(grouped.where(f"pages >= {LEAST_PAGES}"), "tokens", narrow=True)
     hosts = grouped.where("token = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
     kept = grouped.where("token <> 0").join(hosts, "host").where(F.col("pages") >= F.ceil(SUPPORT * F.col("host_pages")))
     return kept.select("host", F.xxhash64("sum1", "sum2", "pages", "total").alias("class"), "token", "path", "pages", "total", "most", "chars", "host_pages", "host_chars")
@@ -258,7 +258,7 @@ def extract(df: DataFrame, row_id: str = "page_id", url: str = "url", page: str
     are broadcast under Spark's own size limit, large ones joined by host, where Spark splits a host that has many of the pages.
     """
     prepare(df.sparkSession)
-    known, _ = written(templates(df, url, page), "templates")
+    known, _ = written(templates(df, url, page), "templates", narrow=True)
     source = df.select(F.col(row_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).alias("page"))
     host = F.lower(F.regexp_extract(F.trim(F.coalesce("url", F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = source.withColumn("host", host).join(known.select("host", "own", "main"), "host", "left").select("page_id", "url", "page", "own", "main")

@@ -212,7 +212,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     Alternating large-star and small-star contraction; each round is an aggregation and a join by key, written to the shared folder.
     """
     spark = links.sparkSession
-    now, path = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now, path = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, narrow=True)
     if not now.take(1):
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     while True:
@@ -223,7 +223,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         # small star: each id and its smaller neighbours go to the least of these
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         fresh = large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        fresh, fresh_path = written(fresh, name)
+        fresh, fresh_path = written(fresh, name, narrow=True)
         # done when each id has one link, to an id that has none itself
         heads = fresh.select(F.col("b").alias("a")).distinct()
         open_ = fresh.groupBy("a").agg(F.count("*").alias("n")).join(heads.withColumn("head", F.lit(True)), "a", "left").where("n > 1 or head")
@@ -375,12 +375,12 @@ def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percen
 
     # equal sets are one: the first row stands for them
     classes = signed.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min("row").alias("head"))
-    members, _ = written(signed.select("row", "id", "size", "sum1", "sum2").join(classes, ["size", "sum1", "sum2"], "left").select("row", "id", "size", F.coalesce("head", "row").alias("head")), "members")
+    members, _ = written(signed.select("row", "id", "size", "sum1", "sum2").join(classes, ["size", "sum1", "sum2"], "left").select("row", "id", "size", F.coalesce("head", "row").alias("head")), "members", narrow=True)
     heads = members.where("row = head and size > 0").select("row", "size")
 
     buckets = signed.select("row", "bands").join(heads.select("row"), "row").select(F.explode("bands").alias("key"), "row")
     grouped = components(buckets.repartition("key").sortWithinPartitions("key", "row").mapInArrow(lean(_bucket_links), "a long, b long"), "buckets")
-    units, units_path = written(_compared(signed, grouped.withColumnRenamed("id", "row").join(heads, "row"), percent), "units")
+    units, units_path = written(_compared(signed, grouped.withColumnRenamed("id", "row").join(heads, "row"), percent), "units", narrow=True)
     sets = signed.select("row", "packed").join(units, "row").mapInArrow(lean(_sets), f"row long, units {dict(units.dtypes)['units']}, hashes binary")
     dealt = sets.select(F.explode("units").alias("u"), "row", "hashes").select("u.unit", "u.side", "row", "hashes").repartition("unit").sortWithinPartitions("unit")
     joined = components(dealt.mapInArrow(lean(_verified(percent)), "a long, b long"), "links")

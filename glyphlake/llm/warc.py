@@ -160,7 +160,7 @@ def write(df: DataFrame, row_id: str = "page_id", url: str = "url", payload: str
     pages = df.select(F.col(row_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
     long_ones = df.select(F.col(row_id).cast("long").alias("page"), F.sha2(body, 256).alias("digest")).where(F.octet_length(body) >= REVISIT_BYTES)
     # written, so that its size is known before the pages are read again: broadcast where small, else joined by a shuffle
-    repeated, _ = written(long_ones.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "repeated")
+    repeated, _ = written(long_ones.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "repeated", narrow=True)
     marked = pages.join(repeated, "digest", "left").select("page", "url", "body", "digest", F.when(~F.col("first").eqNullSafe(F.col("page")), F.col("first")).alias("refers"))
     return written(marked.mapInArrow(lean(_bundled), BUNDLES), "warc", "none")
 
