@@ -40,7 +40,8 @@ class PieceModel:
                 self.ids[piece], self.score[piece] = i, sp.get_score(i)
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (piece, len(piece) - 1))
+        self.letters = {p for p in self.ids if len(p) == 1}
         self.automaton.make_automaton()
         #: Whether no piece has a word mark after another character; else texts are one stretch.
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -84,11 +85,12 @@ class PieceModel:
         """Pieces of a stretch by backtracking."""
         n = len(s)
         starts: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(s):
-            starts[end - len(piece) + 1].append(piece)
-        for i, found in enumerate(starts):
-            if not found or len(found[0]) > 1:  # matches come by their ends, so the shortest is first
-                found.insert(0, s[i])
+        for end, (piece, before) in self.automaton.iter(s):
+            starts[end - before].append(piece)  # matches come by their ends, so the shortest is first
+        letters, pairs = self.letters, self.pairs
+        for i, c in enumerate(s):
+            if c not in letters:
+                starts[i].insert(0, c)
         failed = bytearray((n >> 3) + 1)
         out: list[str] = []
         tries = [len(starts[0])]
@@ -99,8 +101,10 @@ class PieceModel:
             while k >= 0:
                 piece = starts[at][k]
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(last, piece):
-                    break
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = pairs.get((last, piece))
+                    if fits or (fits is None and self.fits(last, piece)):
+                        break
                 k -= 1
             if k >= 0:
                 tries[-1] = k
@@ -117,7 +121,10 @@ class PieceModel:
         return out
 
     def ids_of(self, pieces: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
+        try:
+            return tuple(map(self.ids.__getitem__, pieces))
+        except KeyError:  # a character without a piece
+            out: list[int] = []
         for p in pieces:
             if (i := self.ids.get(p)) is not None:
                 out.append(i)
