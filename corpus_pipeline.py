@@ -14,6 +14,9 @@ from glyphlake.llm import exact_dedup, language_id, near_dedup, packing, toxicit
 from glyphlake.llm.common import removed, table, written
 from glyphlake.llm.queries import TOXIC_FROM, ids_crc32, vocabulary
 
+#: Near copies are linked from this percentage of common shingles on; op7_near_dedup alone has 85.
+NEAR_PERCENT = 80
+
 
 def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is among the kept ones."""
@@ -40,8 +43,8 @@ def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links join."""
-    found = near_dedup.near_dedup(docs.select("doc_id", "text"))
+    """One document of each group that near-duplicate links join, at a similarity of NEAR_PERCENT."""
+    found = near_dedup.near_dedup(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
     return _kept(docs, found.where("kept"))
 
 

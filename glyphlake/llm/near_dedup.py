@@ -9,7 +9,7 @@
    block is a spanning forest of its true links.  In a group of more than HUGE_DOCS different sets, those that share a bucket are compared.
 5. Connected components of the true links, by star contraction over written tables.
 
-With 45 bands of 7 rows a pair at similarity 0.85 is missed by the buckets with probability 3e-8, while one at 0.1 comes
+With 45 bands of 7 rows a pair at similarity 0.85 is missed by the buckets with probability 3e-8, one at 0.80 with 2.5e-5, while one at 0.1 comes
 together with 5e-6.  Step 4 also compares pairs that share no bucket but only a group.
 """
 

@@ -55,6 +55,19 @@ def test_stages(spark, folder, tmp_path):
             assert {r.doc_id for r in docs.collect()} == before
 
 
+def test_near_copies_from_eighty_percent(spark):
+    """Copies with a similarity of 0.80 to below 0.85 go as well."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(104))) for i in range(12)]  # 100 shingles each
+    for i in range(12):  # k last words changed: (100 - k) of 100 + k shingles are common
+        k = (8, 9, 10, 11, 12, 20)[i % 6]
+        rows.append((100 + i, " ".join([*rows[i][1].split()[:-k], *(f"y{i}x{j}" for j in range(k))])))
+    rows += [(200, None), (201, "")]
+    docs = spark.createDataFrame([(d, t, "aa", "s", 1) for d, t in rows], edge.DOCS)
+    has = {r.doc_id for r in corpus_pipeline.near_copies_out(spark, docs, "").collect()}
+    expected, strict = ({d for d, _, c in brute_near(rows, p) if d == c} for p in (80, 85))
+    assert has == expected and len(strict - expected) == 6
+
+
 def test_run(spark, folder):
     base, _ = folder
     out = corpus_pipeline.run(spark, base)
