@@ -1,8 +1,9 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes a normalised TF-IDF vector of its byte 1-, 2- and 3-grams (letters, lower-cased; all else is a blank), hashed to DIMENSIONS.
-Spherical k-means gives each language a few centroids; the prediction is the language of the centroid with the greatest cosine.  A text that is
-farther from it than any training text, by a margin, is rejected.
+Spherical k-means gives each language a few centroids; the prediction is the language of the centroid with the greatest cosine.  A text is
+rejected if it is farther from it than nearly all training texts of its length are from centroids made without them.  Cosines grow with length, so
+training texts count whole and cut to several lengths, and limits are interpolated between these.
 
 The fit reads at most about SAMPLE texts of each language, a share of them by the hash of their id; prediction reads whole texts.
 """
@@ -22,8 +23,13 @@ CENTROIDS = 4
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 600, 4000, 50_000
 #: Languages that a fit learns at most.
 LANGUAGES = 400
-#: A text is rejected below this share of the least cosine that the language's training texts have to their nearest centroid.
-MARGIN = 0.4
+#: A text is rejected below MARGIN of this quantile of the cosines that training texts of its length have to a centroid made without them.
+QUANTILE, MARGIN = 0.01, 0.85
+#: Letters, in bytes, at which there are limits; training texts are cut to as many characters.
+LENGTHS = 4 ** np.arange(1, 8)
+#: A centroid has its own limit at a length where so many texts tell it, else its language's; a language of fewer texts has no limit.
+LEAST_TEXTS = 100
+LEAST_OF_LANGUAGE = 20
 UNKNOWN = "und"
 
 #: Letters and bytes beyond ASCII; all other bytes are blanks.
@@ -73,44 +79,101 @@ class Model:
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, least: np.ndarray):
         self.languages, self.idf, self.centroids, self.least = languages, idf, centroids, least
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        return normalised(counts(texts) * self.idf)
+    def limits(self, best: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The least cosine at which texts of so many letters are accepted by their nearest centroids."""
+        at = np.clip(np.log(np.maximum(letters, 1)) / np.log(4) - 1, 0, len(LENGTHS) - 1)
+        low = np.minimum(at.astype(np.int64), len(LENGTHS) - 2)
+        return self.least[best, low] * (low + 1 - at) + self.least[best, low + 1] * (at - low)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, cosine (0 to 1) and whether the distance is accepted; `und`, 0 and not for texts that are null or have no letter."""
         out: list[tuple[str, float, bool]] = []
         for at in range(0, len(texts), 512):
             some = [t or "" for t in texts[at : at + 512]]
-            cosine = self.vectors(some) @ self.centroids.T if self.languages else np.zeros((len(some), 1))
-            best = cosine.argmax(axis=1)
-            for t, k, c in zip(some, best.tolist(), cosine.max(axis=1).tolist()):
-                if self.languages and any(map(str.isalpha, t)):
-                    out.append((self.languages[k], min(1.0, max(0.0, c)), bool(c >= self.least[k])))
+            if not self.languages:
+                out += [(UNKNOWN, 0.0, False)] * len(some)
+                continue
+            n = counts(some)
+            cosine = normalised(n * self.idf) @ self.centroids.T
+            best, near = cosine.argmax(axis=1), cosine.max(axis=1)
+            for t, k, c, ok in zip(some, best.tolist(), near.tolist(), near >= self.limits(best, letters(n))):
+                if any(map(str.isalpha, t)):
+                    out.append((self.languages[k], min(1.0, max(0.0, c)), bool(ok)))
                 else:
                     out.append((UNKNOWN, 0.0, False))
         return out
 
 
+def letters(n: np.ndarray) -> np.ndarray:
+    """Bytes of letters of texts, from their n-gram counts."""
+    return n[:, :256].sum(axis=1)
+
+
+def limits_of(texts: list[str], v: np.ndarray, idf: np.ndarray, group: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Least cosines, one row for each of a language's centroids and a column for each of LENGTHS, from its texts and their vectors.
+
+    Pieces nearer to one of the other languages' centroids, such as a quotation, tell nothing about this one.
+    """
+    if len(texts) < LEAST_OF_LANGUAGE:
+        return np.zeros((len(group), len(LENGTHS)))
+    own = (v @ group.T).argmax(axis=1)
+    sums = np.array([v[own == k].sum(axis=0) for k in range(len(group))])
+    size, near, nearest = [], [], []
+    for cut in (*LENGTHS.tolist(), None):
+        longer = np.array([i for i, t in enumerate(texts) if cut is None or len(t) > cut], np.int64)
+        for at in range(0, len(longer), 256):
+            some = longer[at : at + 256]
+            n = counts([texts[i][:cut] for i in some])
+            u = normalised(n * idf)
+            cosine = u @ group.T
+            rest = sums[own[some]] - v[some]  # a text's own centroid, without the text
+            norm = np.linalg.norm(rest, axis=1)
+            cosine[np.arange(len(some)), own[some]] = np.where(norm > 1e-3, (u * rest).sum(axis=1) / np.maximum(norm, 1e-3), -1)
+            told = (letters(n) > 0) & (cosine.max(axis=1) >= (u @ others.T).max(axis=1, initial=0))
+            size.append(letters(n)[told])
+            near.append(cosine.max(axis=1)[told])
+            nearest.append(cosine.argmax(axis=1)[told])
+    size, near, nearest = map(np.concatenate, (size, near, nearest))
+    place = np.clip(np.rint(np.log(np.maximum(size, 1)) / np.log(4)) - 1, 0, len(LENGTHS) - 1)
+    out = np.full((len(group), len(LENGTHS)), np.nan)
+    for p in range(len(LENGTHS)):
+        for k in range(len(group)):
+            for x in (near[(place == p) & (nearest == k)], near[place == p]):
+                if len(x) >= LEAST_TEXTS:
+                    out[k, p] = MARGIN * np.quantile(x, QUANTILE)
+                    break
+        # lengths that too few texts have are held to the limit of the length before
+        if p and np.isnan(out[:, p]).any():
+            out[:, p] = np.where(np.isnan(out[:, p]), out[:, p - 1], out[:, p])
+    return np.maximum(np.nan_to_num(out), 0)
+
+
 def fit(texts: list[str], languages: list[str]) -> Model:
     known = sorted(set(languages))
     if not known:
-        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
+        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, len(LENGTHS))))
     c = counts(texts)
     idf = (np.log((1 + len(texts)) / (1 + np.count_nonzero(c, axis=0))) + 1).astype(np.float32)
     v = normalised(c * idf)
-    names, centroids, least = [], [], []
+    del c
+    names, centroids, groups = [], [], []
     labels = np.array(languages)
     for name in known:
-        own = v[(labels == name) & (np.linalg.norm(v, axis=1) > 0.5)]
+        own = np.flatnonzero((labels == name) & (np.linalg.norm(v, axis=1) > 0.5))
         if not len(own):
             continue
-        group = clustered(own, CENTROIDS)
-        farthest = (own @ group.T).max(axis=1).min()
-        for x in group:
-            names.append(name)
-            centroids.append(x)
-            least.append(MARGIN * farthest)
-    return Model(names, idf, np.array(centroids, np.float32).reshape(-1, DIMENSIONS), np.array(least))
+        group = clustered(v[own], CENTROIDS)
+        names += [name] * len(group)
+        centroids += list(group)
+        groups.append((name, own, group))
+    centroids = np.array(centroids, np.float32).reshape(-1, DIMENSIONS)
+    # texts nearer to another language are not of the label's
+    found = np.array(names)[(v @ centroids.T).argmax(axis=1)] if names else labels
+    least = []
+    for name, own, group in groups:
+        own = own[found[own] == name]
+        least.append(limits_of([texts[i] for i in own], v[own], idf, group, centroids[np.array(names) != name]))
+    return Model(names, idf, centroids, np.concatenate(least) if least else np.zeros((0, len(LENGTHS))))
 
 
 def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:

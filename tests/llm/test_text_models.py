@@ -92,3 +92,18 @@ def test_language_vectors_do_not_depend_on_neighbours():
     together = language_id.counts(texts)
     for i, t in enumerate(texts):
         assert (language_id.counts([t])[0] == together[i]).all()
+
+
+def test_language_rejects_by_distance():
+    """A Latin-script language that no fit has seen, and random letters, go; held-out texts and short ones stay."""
+    rng = random.Random(8)
+    rows = corpus(n=900)
+    odd = [(t, lang) for lang in ("aa", "bb") for t in ("zq", "xk jv", "qqqq")]  # a few training texts of junk don't open the door
+    model = language_id.fit([r[1] for r in rows if not held(r[0])] + [t for t, _ in odd], [r[2] for r in rows if not held(r[0])] + [x for _, x in odd])
+    italian = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era cosa dura".split()
+    foreign = [" ".join(rng.choice(italian) for _ in range(100)) for _ in range(50)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(100)) for _ in range(50)]
+    assert not any(ok for _, _, ok in model.predict(foreign)) and not any(ok for _, _, ok in model.predict(noise))
+    clean = [r[1] for r in rows if held(r[0])]
+    assert all(ok for _, _, ok in model.predict(clean))
+    assert sum(ok for _, _, ok in model.predict([t[:40] for t in clean])) >= 0.98 * len(clean)
