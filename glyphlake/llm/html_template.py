@@ -1,13 +1,17 @@
 """Main text of web pages by equivalence classes of page tokens.
 
-Tokens are a page's elements, told apart by their path of block elements with class and id, and its text blocks by path and content.  A token's
-occurrence vector is its count in each page of the same host; tokens with equal vectors form a class.  Vectors may be as long as a host has
-pages, so they are kept as sums of page hashes weighted by counts, which Spark adds up before it shuffles, and equal sums mean equal
-vectors.  A class is valid if it occurs on most of the host's pages and its elements nest; classes that occur once a page form the outer
-template, the others nest in it by path.  Text blocks in valid classes are the template's own text; what is between its elements are slots.
+Tokens are a page's elements, told apart by their path of block elements with class and id, and its text blocks by path and content.  Pages of a
+host with the same frame of containers are a layout; a token's occurrence vector is its count in each page of the same layout, and tokens with equal
+vectors form a class.  Vectors may be as long as a host has pages, so they are kept as sums of page hashes weighted by counts, which Spark adds up
+before it shuffles, and equal sums mean equal vectors.
+
+A class on most of a layout's pages is valid if its elements come in one cyclic order at each of their occurrences; a text of the class
+belongs to it if it always follows the same one of these.  So elements that swap places, or nest now and now not, are no template.  What is
+between a valid class's elements are slots, named by the element they lie in.  Valid classes' texts are the template's own, with two exceptions: in an
+article only slots without any other text are, and a layout without any other text has none of its own.
 
 From each page the template's own text is dropped, then every slot whose path says it is a menu, header, footer, sidebar, notice, advert, form, or
-comments; of what is left, the slot of the article if there is one, else the slot that holds most of the host's text, or all.
+comments; of what is left, the slot of the article if there is one, else the slot that holds most of the layout's text, or all.
 """
 
 from __future__ import annotations
@@ -16,22 +20,21 @@ import hashlib
 import html as entities
 import json
 import re
+from collections.abc import Iterable
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, prepare, task_base, written
 
-#: A class is part of the template if it is on this share of a host's pages, of which there are at least LEAST_PAGES.
+#: A class is part of the template if it is on this share of a layout's pages, of which there are at least LEAST_PAGES.
 SUPPORT, LEAST_PAGES = 0.8, 5
 #: A slot that holds this share of a host's text outside of menus and the like is the main one where no article is marked.
 MAIN_SHARE = 0.6
 
-#: The template's own text is dropped from a page's main slot if it is at most this share of it.
-OWN_SHARE = 0.3
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements within a block; all others begin and end one.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -60,8 +63,8 @@ class Element:
         mark = ".".join(sorted(found.get("class", "").split())) + ("#" + found["id"] if "id" in found else "")
         self.name = name
         self.path = f"{parent.path if parent else ''}/{name}{'.' + mark if mark else ''}"
-        inside = parent is not None and parent.article
-        self.article = inside or name in ("article", "main") or found.get("role") in ("main", "article")
+        inside = parent is not None and parent.article > 0
+        self.article = parent.article if inside else self.path.count("/") if name in ("article", "main") or found.get("role") in ("main", "article") else 0
         parts = {p.lower() for key in ("class", "id") for p in PART.findall(found.get(key, ""))} & CHROME
         if self.article:  # an article's own header, with its title, is text
             parts -= {"header"}
@@ -69,15 +72,15 @@ class Element:
 
 
 class Block:
-    __slots__ = ("path", "text", "chrome", "article")
+    __slots__ = ("path", "text", "chrome", "article", "after")
 
     def __init__(self, element: Element | None, text: str):
         self.path, self.text = (element.path if element else ""), text
-        self.chrome, self.article = (element.chrome, element.article) if element else (False, False)
+        self.chrome, self.article = (element.chrome, element.article) if element else (0, 0)
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
-    """Block elements and text blocks in page order.  Never fails: unclosed and misplaced tags close where the next block says so."""
+    """Block elements and text blocks, each in page order.  Never fails: unclosed and misplaced tags close where the next block says so."""
     stack: list[Element] = []
     elements: list[Element] = []
     blocks: list[Block] = []
@@ -88,6 +91,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
                 blocks.append(Block(stack[-1] if stack else None, text))
+                blocks[-1].after = len(elements)
             held.clear()
 
     at = 0
@@ -135,145 +139,249 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-TOKENS = "host string, token long, path string, sum1 long, sum2 long, pages long, total long, most long, chars long"
+PARSED = "page_id long, url string, host string, layout long, parsed binary"
+
+
+def _parsed(batches):
+    """(page_id, url, page) with host, layout and the parsed page: distinct paths, elements as places in these, text blocks."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        hosts, layouts, packed = [], [], []
+        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            elements, blocks = parse(page or "")
+            number: dict[str, int] = {}
+            order = [number.setdefault(e.path, len(number)) for e in elements]
+            hosts.append(host_of(url))
+            layouts.append(0)  # all pages of a host
+            texts = [(number.setdefault(b.path, len(number)), b.text, b.article, b.after) for b in blocks if not b.chrome]
+            packed.append(z.compress(json.dumps((list(number), order, texts)).encode()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(layouts, pa.int64()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "layout", "parsed"])
+
+
+def parsed_pages(df: DataFrame, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """Each page parsed once, written for the passes over it."""
+    prepare(df.sparkSession)
+    source = df.select(F.col(row_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).alias("page"))
+    return written(source.mapInArrow(lean(_parsed), PARSED), "pages", "none")[0]
+
+
+def _unpacked(column: pa.Array) -> Iterable[tuple[list[str], list[int], list[list]]]:
+    z = zstandard.ZstdDecompressor()
+    for p in column:
+        yield json.loads(z.decompress(p.as_buffer()))
+
+
+TOKENS = "host string, layout long, token long, path string, within long, article long, length long, sum1 long, sum2 long, pages long, total long, most long, chars long"
 
 
 def _tokens(batches):
-    """Sums over the pages of a batch for each host and token; the path '' stands for the page itself."""
+    """(host, layout, parsed) to sums over the pages of a batch for each host, layout and token; the path '' stands for the page itself."""
     row = task_base()
     for batch in batches:
-        sums: dict[tuple[str, int], list] = {}
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        sums: dict[tuple[str, int, int], list] = {}
+        for host, layout, (paths, order, texts) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2))):
             row += 1
-            host = host_of(url)
-            if not host:
-                continue
             d = hashlib.blake2b(row.to_bytes(8, "big"), digest_size=8).digest()
             one, two = int.from_bytes(d[:4], "big") >> 2, int.from_bytes(d[4:], "big") >> 2
-            elements, blocks = parse(page or "")
-            found: dict[int, list] = {0: ["", 1, 0]}
-            for e in elements:
-                found.setdefault(key(e.path), [e.path, 0, 0])[1] += 1
-            for b in blocks:
-                found.setdefault(key(b.path, b.text), [None, 0, 0])[1] += 1
-                if not b.chrome:
-                    found[0][2] += len(b.text)
-                    parts = b.path.split("/")
-                    for k in range(2, len(parts) + 1):
-                        if re.split(r"[.#]", parts[k - 1], maxsplit=1)[0] in CONTAINERS and (f := found.get(key("/".join(parts[:k])))):
-                            f[2] += len(b.text)
-            for token, (path, n, chars) in found.items():
-                s = sums.setdefault((host, token), [host, token, path, 0, 0, 0, 0, 0, 0])
+            keys = [key(p) for p in paths]
+            found: dict[int, list] = {0: ["", None, 0, 0, 1, 0]}
+            for k in order:
+                found.setdefault(keys[k], [paths[k], None, 0, 0, 0, 0])[4] += 1
+            for k, text, article, _ in texts:
+                found.setdefault(key(paths[k], text), [None, keys[k], article, len(text), 0, 0])[4] += 1
+                found[0][5] += len(text)
+                at = paths[k]
+                while at:
+                    if f := found.get(key(at) if at != paths[k] else keys[k]):
+                        f[5] += len(text)
+                    at = at.rpartition("/")[0]
+            for token, (path, within, article, length, n, chars) in found.items():
+                s = sums.setdefault((host, layout, token), [host, layout, token, path, within, article, length, 0, 0, 0, 0, 0, 0])
                 for k, v in enumerate((n * one, n * two, 1, n)):
-                    s[3 + k] += v
-                s[7] = max(s[7], n)
-                s[8] += chars
+                    s[7 + k] += v
+                s[11] = max(s[11], n)
+                s[12] += chars
         if sums:
             columns = list(zip(*sums.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (0, 2) else pa.int64()) for k, c in enumerate(columns)], names=["host", "token", "path", "sum1", "sum2", "pages", "total", "most", "chars"])
+            names = [f.split()[0] for f in TOKENS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (0, 3) else pa.int64()) for k, c in enumerate(columns)], names=names)
 
 
 def classes(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """The template's tokens: host, class, token, path (null for text), pages, total, most, chars, host_pages, host_chars.
+    """The tokens that may be a template's: host, layout, class, token, path (null for text), pages, total, most, chars and others.
 
-    `class` names tokens of a host with equal occurrence vectors.  Only tokens on SUPPORT of at least LEAST_PAGES pages are kept, so a
-    host has at most 1 / SUPPORT times as many as a page has on average.
+    `class` names tokens of a layout with equal occurrence vectors.  Only tokens on SUPPORT of at least LEAST_PAGES pages are kept, so a
+    layout has at most 1 / SUPPORT times as many as a page has on average.
     """
-    prepare(df.sparkSession)
-    source = df.select(F.col(url).alias("url"), F.col(page).alias("page"))
-    grouped = source.mapInArrow(lean(_tokens), TOKENS).groupBy("host", "token").agg(
-        F.min("path").alias("path"), *(F.sum(c).alias(c) for c in ("sum1", "sum2", "pages", "total")), F.max("most").alias("most"), F.sum("chars").alias("chars"))
+    return _classes(parsed_pages(df.withColumn("__none", F.lit(None)), "__none", url, page))
+
+
+def _classes(pages: DataFrame) -> DataFrame:
+    grouped = pages.where("host <> ''").select("host", "layout", "parsed").mapInArrow(lean(_tokens), TOKENS).groupBy("host", "layout", "token").agg(
+        *(F.min(c).alias(c) for c in ("path", "within", "article", "length")), *(F.sum(c).alias(c) for c in ("sum1", "sum2", "pages", "total")), F.max("most").alias("most"), F.sum("chars").alias("chars"))
     grouped, _ = written(grouped.where(f"pages >= {LEAST_PAGES}"), "tokens", narrow=True)
-    hosts = grouped.where("token = 0").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
-    kept = grouped.where("token <> 0").join(hosts, "host").where(F.col("pages") >= F.ceil(SUPPORT * F.col("host_pages")))
-    return kept.select("host", F.xxhash64("sum1", "sum2", "pages", "total").alias("class"), "token", "path", "pages", "total", "most", "chars", "host_pages", "host_chars")
+    whole = grouped.where("token = 0").select("host", "layout", F.col("pages").alias("layout_pages"), F.col("chars").alias("layout_chars"))
+    kept = grouped.where("token <> 0").join(whole, ["host", "layout"]).where(F.col("pages") >= F.ceil(SUPPORT * F.col("layout_pages")))
+    return kept.select(
+        "host", "layout", F.xxhash64("sum1", "sum2", "pages", "total").alias("class"), "token", "path", "within", "article", "length", "pages", "total", "most", "chars", "layout_pages", "layout_chars")
+
+
+PLACES = "host string, layout long, token long, first long, last long"
+
+
+def places(paths: list[str], order: list[int], texts: list[list], class_of: dict[int, int]) -> Iterable[tuple[int, int]]:
+    """(token, place) for each occurrence of a class's token on a page.
+
+    The place is the element of its class before it, for the first one the last, and whether the token itself is the first.
+    """
+    keys = [key(p) for p in paths]
+    events = [(k, -1, keys[p], True) for k, p in enumerate(order)] + [(after - 1, n, key(paths[p], text), False) for n, (p, text, _, after) in enumerate(texts)]
+    last = {class_of[keys[p]]: keys[p] for p in order if keys[p] in class_of}
+    heads = {keys[p] for p in {class_of[keys[p]]: p for p in reversed(order) if keys[p] in class_of}.values()}
+    for _, _, token, element in sorted(events):
+        c = class_of.get(token)
+        if c is not None:
+            yield token, last.get(c, 0) ^ (token in heads)
+            if element:
+                last[c] = token
+
+
+def _places(batches):
+    """(host, layout, parsed, tokens) to the least and greatest place of each token over the pages of a batch."""
+    for batch in batches:
+        found: dict[tuple[str, int, int], list] = {}
+        known: dict[tuple[str, int], dict[int, int]] = {}
+        listed = batch.column(3)
+        for i, (host, layout, (paths, order, texts)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch.column(2)))):
+            if (host, layout) not in known:
+                known[host, layout] = {t["token"]: t["class"] for t in listed[i].as_py()}
+            for token, place in places(paths, order, texts, known[host, layout]):
+                f = found.setdefault((host, layout, token), [host, layout, token, place, place])
+                f[3], f[4] = min(f[3], place), max(f[4], place)
+        if found:
+            columns = list(zip(*found.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)], names=["host", "layout", "token", "first", "last"])
 
 
 def templates(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """One row for each host with a template: host, own (tokens of its own text), main (path of its main slot or null), classes (JSON).
+    """One row for each layout with a template: host, layout, own (tokens of its own text), main (path of its main slot or null), classes (JSON).
 
-    `classes` is the nested template: for each class its element paths, how often it occurs, and the class that holds it.
+    `classes` is the nested template: for each valid class its element paths, how often it occurs, and the element that holds it.
     """
-    found = classes(df, url, page)
-    # text repeats within a page only as part of a list of the template's; text of a class without elements or other text is a page's own
-    rows = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "class", "token", "pages", "total", "most", "chars", "host_chars"))).alias("tokens"))
+    return _templates(parsed_pages(df.withColumn("__none", F.lit(None)), "__none", url, page))
+
+
+def _templates(pages: DataFrame) -> DataFrame:
+    found, _ = written(_classes(pages), "classes", narrow=True)
+    listed = found.groupBy("host", "layout").agg(F.collect_list(F.struct("token", "class")).alias("tokens"))
+    placed = pages.where("host <> ''").join(listed, ["host", "layout"]).select("host", "layout", "parsed", "tokens").mapInArrow(lean(_places), PLACES)
+    placed = placed.groupBy("host", "layout", "token").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ordered = found.join(placed.select("host", "layout", "token", (F.col("first") == F.col("last")).alias("ordered")), ["host", "layout", "token"])
+    fields = ("path", "class", "token", "within", "article", "length", "pages", "total", "most", "chars", "layout_chars", "ordered")
+    rows = ordered.groupBy("host", "layout").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("tokens"))
 
     def run(batches):
         for batch in batches:
-            hosts, own, mains, nested = [], [], [], []
-            for host, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                groups: dict[int, list[dict]] = {}
-                for t in tokens:
-                    groups.setdefault(t["class"], []).append(t)
-                valid = {c: g for c, g in groups.items() if _nests(g)}
-                outer = sorted((t["path"] for g in valid.values() for t in g if t["path"] and t["most"] == 1), key=len)
-                main = None
-                for path in outer:  # the deepest container that holds most text; elements nest, so there is one line of them
-                    t = next(t for g in valid.values() for t in g if t["path"] == path)
-                    if re.split(r"[.#]", path.rsplit("/", 1)[1], maxsplit=1)[0] in CONTAINERS and t["chars"] >= MAIN_SHARE * max(1, t["host_chars"]):
-                        main = path
-                tree = []
-                for c, g in valid.items():
-                    paths = [t["path"] for t in g if t["path"]]
-                    if paths:
-                        top = min(paths, key=len)
-                        holder = next((p for p in reversed(outer) if top.startswith(p + "/")), None)
-                        tree.append({"paths": sorted(paths), "pages": g[0]["pages"], "total": g[0]["total"], "in": holder})
-                hosts.append(host)
-                own.append([t["token"] for g in valid.values() for t in g if t["path"] is None])
-                mains.append(main)
-                nested.append(json.dumps(tree))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(mains, pa.string()), pa.array(nested, pa.string())], names=["host", "own", "main", "classes"])
-
-    return rows.mapInArrow(lean(run), "host string, own array<long>, main string, classes string")
+            made = [(host, layout, *template(tokens)) for host, layout, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=["host", "layout", "own", "main", "classes"])
+
+    return rows.mapInArrow(lean(run), "host string, layout long, own array<long>, main string, classes string")
+
+
+def _container(path: str) -> bool:
+    return re.split(r"[.#]", path.rsplit("/", 1)[-1], maxsplit=1)[0] in CONTAINERS
+
+
+def template(tokens: list[dict]) -> tuple[list[int], str | None, str]:
+    """(own, main, classes) of a layout from its tokens."""
+    groups: dict[int, list[dict]] = {}
+    for t in tokens:
+        groups.setdefault(t["class"], []).append(t)
+    valid = {c: g for c, g in groups.items() if _nests(g)}
+    path_of = {t["token"]: t["path"] for t in tokens if t["path"]}  # a text's element is on the pages that have the text
+    # a text of a class without elements is a page's own
+    texts = [t for g in valid.values() if any(x["path"] for x in g) for t in g if t["path"] is None and t["ordered"]]
+    # slots: the elements that each page has once, with the text in them that is not the template's
+    slots = {t["path"]: t for g in valid.values() for t in g if t["path"] and t["most"] == 1}
+    outer = sorted(slots, key=len)
+    other = {path: e["chars"] for path, e in slots.items()}
+    at_of = {}
+    for t in texts:
+        at = at_of[t["token"]] = path_of.get(t["within"], "")
+        while at:
+            if at in other:
+                other[at] -= t["length"] * t["total"]
+            at = at.rpartition("/")[0]
+    left = tokens[0]["layout_chars"] - sum(t["length"] * t["total"] for t in texts)
+    own = []
+    for t in texts:
+        at = at_of[t["token"]]
+        if t["article"]:
+            while at.count("/") > t["article"] and not (_container(at) and at in other):
+                at = at.rpartition("/")[0]
+            if at.count("/") <= t["article"] or other[at] > 0 or not any(o > 0 for p, o in other.items() if p.count("/") == t["article"] and at.startswith(p + "/")):
+                continue
+        if left > 0:
+            own.append(t["token"])
+    main = None
+    total = max(1, left if left > 0 else tokens[0]["layout_chars"])
+    for path in outer:  # the deepest slot that holds most text; elements nest, so there is one line of them
+        if _container(path) and (other[path] if left > 0 else slots[path]["chars"]) >= MAIN_SHARE * total:
+            main = path
+    tree = []
+    for g in valid.values():
+        paths = [t["path"] for t in g if t["path"]]
+        if paths:
+            top = min(paths, key=len)
+            holder = next((p for p in reversed(outer) if top.startswith(p + "/")), None)
+            tree.append({"paths": sorted(paths), "pages": g[0]["pages"], "total": g[0]["total"], "in": holder})
+    return own, main, json.dumps(tree)
 
 
 def _nests(group: list[dict]) -> bool:
-    """A class is valid if its elements, in path order, are each inside or beside the ones before, and occur equally often."""
-    paths = sorted(t["path"] for t in group if t["path"])
-    return len({t["total"] for t in group}) == 1 and len(paths) == len(set(paths))
+    """A class is valid if each of its elements always follows the same other one, around the circle."""
+    return all(t["ordered"] for t in group if t["path"])
 
 
-def main_text(page: str | None, own: frozenset[int] = frozenset(), main: str | None = None) -> str:
-    """The main text of a page, given its host's template."""
-    _, blocks = parse(page or "")
-    left = [b for b in blocks if not b.chrome]
-    marked = [b for b in left if b.article]
+def chosen(blocks: Iterable[tuple[str, str, int]], own: frozenset[int] = frozenset(), main: str | None = None) -> str:
+    """The main text from (path, text, article) of the blocks that are no menu and the like, given the layout's template."""
+    left = [b for b in blocks]
+    marked = [b for b in left if b[2]]
     if marked:
         left = marked
     elif main:
-        left = [b for b in left if b.path == main or b.path.startswith(main + "/")] or left
-    if own:
-        rest = [b for b in left if key(b.path, b.text) not in own]
-        # on a host of copies the pages' text recurs as well: what would take much of a page is its text
-        if sum(len(b.text) for b in rest) >= (1 - OWN_SHARE) * sum(len(b.text) for b in left):
-            left = rest
-    return " ".join(b.text for b in left)
+        left = [b for b in left if b[0] == main or b[0].startswith(main + "/")] or left
+    return " ".join(text for path, text, _ in left if not own or key(path, text) not in own)
+
+
+def main_text(page: str | None, own: frozenset[int] = frozenset(), main: str | None = None) -> str:
+    """The main text of a page, given its layout's template."""
+    return chosen(((b.path, b.text, b.article) for b in parse(page or "")[1] if not b.chrome), own, main)
 
 
 def extract(df: DataFrame, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row; null and empty pages have the text ''.
 
-    Ids may repeat or be null; pages whose url is null or has no host are read without a template.  Templates are written first: small ones
-    are broadcast under Spark's own size limit, large ones joined by host, where Spark splits a host that has many of the pages.
+    Ids may repeat or be null; pages whose url is null or has no host are read without a template.  Parsed pages and templates are written first: small
+    templates are broadcast under Spark's own size limit, large ones joined by layout, where Spark splits a layout that has many of the pages.
     """
-    prepare(df.sparkSession)
-    known, _ = written(templates(df, url, page), "templates", narrow=True)
-    source = df.select(F.col(row_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).alias("page"))
-    host = F.lower(F.regexp_extract(F.trim(F.coalesce("url", F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = source.withColumn("host", host).join(known.select("host", "own", "main"), "host", "left").select("page_id", "url", "page", "own", "main")
+    pages = parsed_pages(df, row_id, url, page)
+    known, _ = written(_templates(pages), "templates", narrow=True)
+    joined = pages.join(known.select("host", "layout", "own", "main"), ["host", "layout"], "left").select("page_id", "url", "parsed", "own", "main")
 
     def run(batches):
         sets: dict[tuple, frozenset] = {}
         for batch in batches:
             texts = []
-            for p, own, main in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            for (paths, _, blocks), own, main in zip(_unpacked(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4))):
                 own = tuple(own or ())
                 if own not in sets:
                     if len(sets) > 1000:
                         sets.clear()
                     sets[own] = frozenset(own)
-                texts.append(main_text(p, sets[own], main))
+                texts.append(chosen(((paths[k], text, article) for k, text, article, _ in blocks), sets[own], main))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

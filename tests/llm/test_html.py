@@ -59,3 +59,36 @@ def test_linear():
     began = time.time()
     H.main_text("<div " * 50_000 + "<p>" * 20_000 + "\"'" * 10_000)
     assert time.time() - began < 30
+
+
+def deduced(spark, pages, host="o.example"):
+    """(texts, templates) of pages of one host."""
+    df = spark.createDataFrame([(i, f"https://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(H.extract(df).collect(), key=lambda r: r.page_id)], H.templates(df).collect()
+
+
+def test_order_makes_a_class_valid(spark):
+    """Elements that swap places are no template; the same elements in one order are."""
+    bar, body = "<div class='bar'><p>Welcome to our shop</p></div>", "<div class='body'><p>Story {0} is told here at length.</p></div>"
+    pages = [(bar + body if i % 2 else body + bar).format(i) for i in range(10)]
+    texts, found = deduced(spark, pages)
+    assert all("Welcome" in t for t in texts) and [t.own for t in found] == [[]]
+    texts, found = deduced(spark, [(bar + body).format(i) for i in range(10)])
+    assert texts == [f"Story {i} is told here at length." for i in range(10)] and [len(t.own) for t in found] == [1]
+
+
+def test_text_of_a_class_without_elements_stays(spark):
+    """Nine of ten pages have the sentence, which no element's vector equals: a page's own."""
+    pages = [f"<div class='bar'><p>Call us</p></div><div class='body'><p>Story {i} is told here at length.</p>{'<p>Shared by most.</p>' if i else '<p>Not by this.</p>'}</div>" for i in range(10)]
+    texts, _ = deduced(spark, pages)
+    assert texts[3] == "Story 3 is told here at length. Shared by most."
+
+
+def test_uneven_nesting_is_no_class():
+    """p and div equally often on each page, but not each p in a div of its own."""
+    def seen(page):
+        elements, _ = H.parse(page)
+        number = {p: k for k, p in enumerate(dict.fromkeys(e.path for e in elements))}
+        return set(H.places(list(number), [number[e.path] for e in elements], [], {H.key("/div"): 1, H.key("/div/p"): 1}))
+
+    assert len(seen("<div><p>a</p></div><div><p>b</p></div>")) == 2 and len(seen("<div><p>a</p><p>b</p></div><div></div>")) > 2
