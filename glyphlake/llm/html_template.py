@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import lean, prepare, task_base, written
 
 #: A class is part of the template if it is on this share of a layout's pages, of which there are at least LEAST_PAGES.
-SUPPORT, LEAST_PAGES = 0.8, 5
+SUPPORT, LEAST_PAGES = 0.8, 2
 #: A slot that holds this share of a host's text outside of menus and the like is the main one where no article is marked.
 MAIN_SHARE = 0.6
 
@@ -47,12 +47,17 @@ CHROME = frozenset(
     "subscription signup login sidebar side aside rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond related recommended "
     "share sharing social widget widgets toolbar pagination pager skip search form".split())
 CONTAINERS = frozenset("body div section article main td".split())
+#: Elements that make a page's layout, outside of articles.
+FRAME = frozenset("html body div section article main nav header footer aside form".split())
+#: Words of wrappers whose articles are no main text.
+TEASERS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond related recommended widget widgets".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]),
              "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NUMBER = re.compile(r"[0-9]+")
 
 
 class Element:
@@ -61,14 +66,28 @@ class Element:
     def __init__(self, name: str, parent: Element | None, attributes: str):
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes and "=" in attributes else {}
         mark = ".".join(sorted(found.get("class", "").split())) + ("#" + found["id"] if "id" in found else "")
+        if name in ("html", "body"):  # there is one, and its classes often name the page
+            mark = ""
         self.name = name
-        self.path = f"{parent.path if parent else ''}/{name}{'.' + mark if mark else ''}"
+        self.path = f"{parent.path if parent else ''}/{name}{'.' + NUMBER.sub('0', mark) if mark else ''}"
         inside = parent is not None and parent.article > 0
-        self.article = parent.article if inside else self.path.count("/") if name in ("article", "main") or found.get("role") in ("main", "article") else 0
-        parts = {p.lower() for key in ("class", "id") for p in PART.findall(found.get(key, ""))} & CHROME
+        begins = name in ("article", "main") or found.get("role") in ("main", "article")
+        #: Depth of the outermost article or main element, or 0.
+        self.article = parent.article if inside else self.path.count("/") if begins else 0
+        words = [w for key in ("class", "id") for w in found.get(key, "").split()]
+        parts = {p.lower() for w in words for p in PART.findall(w)} & CHROME
         if self.article:  # an article's own header, with its title, is text
             parts -= {"header"}
-        self.chrome = bool((parent and parent.chrome) or name in DROPPED or (name == "header" and not inside) or found.get("role") in ROLES or (parts and name not in ("html", "body") and not (name in ("article", "main"))))
+        # 2 if an article can't end it, 1 if it is a whole-page form or a word of a compound such as has-sidebar
+        own = 0
+        if name in DROPPED or (name == "header" and not inside) or found.get("role") in ROLES:
+            own = 1 if name == "form" and found.get("role") not in ROLES else 2
+        if parts and name not in ("html", "body", "article", "main"):
+            own = max(own, 2 if parts & TEASERS or parts & {w.lower() for w in words} else 1)
+        inherited = parent.chrome if parent else 0
+        if begins and not inside and (inherited == 1 or name == "main" or found.get("role") == "main"):
+            inherited = 0
+        self.chrome = max(own, inherited)
 
 
 class Block:
@@ -151,8 +170,9 @@ def _parsed(batches):
             elements, blocks = parse(page or "")
             number: dict[str, int] = {}
             order = [number.setdefault(e.path, len(number)) for e in elements]
+            frame = {e.path for e in elements if e.name in FRAME and e.article in (0, e.path.count("/"))}
             hosts.append(host_of(url))
-            layouts.append(0)  # all pages of a host
+            layouts.append(key("\n".join(sorted(frame))))
             texts = [(number.setdefault(b.path, len(number)), b.text, b.article, b.after) for b in blocks if not b.chrome]
             packed.append(z.compress(json.dumps((list(number), order, texts)).encode()))
         yield pa.RecordBatch.from_arrays(

@@ -92,3 +92,36 @@ def test_uneven_nesting_is_no_class():
         return set(H.places(list(number), [number[e.path] for e in elements], [], {H.key("/div"): 1, H.key("/div/p"): 1}))
 
     assert len(seen("<div><p>a</p></div><div><p>b</p></div>")) == 2 and len(seen("<div><p>a</p><p>b</p></div><div></div>")) > 2
+
+
+def test_two_layouts_of_a_host(spark):
+    """Neither layout is on most of the host's pages; each loses its own menu."""
+    one = "<div class='bar'><p>Welcome to our shop</p></div><div class='body'><p>Story {0} is told here at length.</p></div>"
+    two = "<section class='top'><p>All our photos</p></section><section class='film'><p>Film {0} shows much of that.</p></section>"
+    texts, _ = deduced(spark, [(two if i % 2 else one).format(i) for i in range(12)])
+    assert texts == [f"Film {i} shows much of that." if i % 2 else f"Story {i} is told here at length." for i in range(12)]
+
+
+def test_two_pages_are_a_template(spark):
+    texts, _ = deduced(spark, [f"<div class='bar'><p>Welcome</p></div><div class='body'><p>Story {i} is told here.</p></div>" for i in range(2)])
+    assert texts == ["Story 0 is told here.", "Story 1 is told here."]
+
+
+def test_short_and_long_articles_lose_the_same(spark):
+    pages = [f"<article><p>{f'Part {i}. ' * (200 if i % 2 else 1)}</p><div class='end'><p>Read this and much more in our own application.</p></div></article>" for i in range(8)]
+    texts, _ = deduced(spark, pages)
+    assert texts == [" ".join(f"Part {i}." for _ in range(200 if i % 2 else 1)) for i in range(8)]
+
+
+def test_shared_sentence_of_articles_stays(spark):
+    texts, _ = deduced(spark, [f"<article><p>A long story number {i} that fills most of the page.</p><p>The end.</p></article>" for i in range(10)])
+    assert texts == [f"A long story number {i} that fills most of the page. The end." for i in range(10)]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='has-sidebar'><p>x</p><article><p>t</p></article></div>", "t"), ("<form><main><p>t</p></main></form>", "t"), ("<form><article><p>t</p></article></form>", "t"),
+    ("<div class='search'><main><p>t</p><div class='share'>s</div></main></div>", "t"), ("<div class='comments'><article><p>c</p></article></div><p>t</p>", "t"),
+    ("<aside><article><p>c</p></article></aside><p>t</p>", "t"), ("<div class='related-posts'><article><p>c</p></article></div><article><p>t</p></article>", "t"),
+])
+def test_articles_end_inherited_chrome(page, text):
+    assert H.main_text(page) == text
