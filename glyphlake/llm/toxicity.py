@@ -1,20 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one of ordinary text and one of the same plus toxic text.  A window of a document is compressed with
-each; where the second makes it shorter, the window is more like toxic text.  The differences that reach a calibrated threshold add up to
-the document's evidence, which a logistic curve, fitted on documents that neither dictionary has seen, turns into a score.
+Two zstandard dictionaries are trained, one on passages of toxic documents and one on ordinary running text.  Every window of WINDOW words of a
+document is compressed with each of them; the second length less the first is how much more like toxic text the window is.  Differences that
+reach a calibrated threshold add up to the document's evidence, which a logistic curve, fitted on documents that neither dictionary has seen,
+turns into a score.
 
-The toxic part holds the word beginnings that save most bytes over the toxic training documents, net of what they would save over
-ordinary ones: windows are short, so a dictionary of whole toxic documents, nearly all of whose text is ordinary, would tell them nothing.
+Nearly all text of a toxic document is ordinary.  So the trainer gets, for the toxic dictionary, the stretches that set toxic documents apart:
+bytes of runs (GRAMS bytes long) that so many more toxic than ordinary documents hold that chance can't explain it over all runs seen.  There is no
+list of words: stretches are runs of bytes, which may be a part of a word, a word or several, and zstandard chooses the dictionary among them.
 
-The fit reads at most SAMPLE labelled documents of each class; scoring reads every window of every whole text.
+The fit reads at most SAMPLE labelled documents and SAMPLE_BYTES of text of each class; scoring reads every window of every whole text.
 """
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import zlib
-from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +26,59 @@ from pyspark.sql import functions as F
 
 from .common import lean, prepare, split_remainder, trim
 
-#: Labelled documents of each class that a fit reads at most (those with the lowest hash of their id), and their longest text in characters.
-SAMPLE, SAMPLE_CHARS = 2000, 50_000
-#: Bytes of ordinary text and of toxic text in the dictionaries.
-ORDINARY_BYTES, TOXIC_BYTES = 1200, 2400
-#: Bytes from the ordinary dictionary in front of each window: a block that doesn't shrink is stored as it is, and would show no difference.
-CARRIER_BYTES = 24
-LEVEL = 6
-#: Windows whose difference a worker remembers.
-REMEMBERED = 200_000
+#: Labelled documents of each class, and characters of all of them, that a fit reads at most; longer texts than SAMPLE_CHARS are not among them.
+SAMPLE, SAMPLE_BYTES, SAMPLE_CHARS = 2000, 8 << 20, 50_000
+#: Bytes of each dictionary, and of the segments that the trainer puts into it.
+DICTIONARY_BYTES, SEGMENT_BYTES = 2304, 64
+#: Windows of ordinary text that the trainer gets, at most; drawn evenly over all of the sample.
+TRAINED_WINDOWS = 100_000
+#: Words of a window; a window begins at each word.
+WINDOW = 2
+#: Lengths of the runs of bytes whose documents are counted.
+GRAMS = (5, 8)
+#: A run sets toxic documents apart if it is in so many times the share of them, beyond chance.
+RATIO = 8
 #: Stands in front of each word, in windows and dictionaries: a match from a word's beginning is longer than one inside a word.
-START = b"\0\1\2\3"
+START = b"\0\1"
+#: In front of each window and at the end of both dictionaries: a block that doesn't shrink is stored as it is, and would show no difference.
+CARRIER = bytes(range(4, 28))
+#: Matches are at least so long, so that common syllables don't count.
+MATCH = 6
+#: Characters of a text, and windows, that are worked on at once.
+PIECE, AT_ONCE = 1 << 20, 20_000
 
 #: A-Z to a-z; other letters and bytes beyond ASCII stay; the rest are spaces.
 LETTERS = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(LETTERS).split()
+    """Lower-cased words; one that follows itself counts once, as a window that repeats itself shortens without any dictionary."""
+    return [w for w, _ in itertools.groupby(text.lower().encode("utf-8", "replace").translate(LETTERS).split())]
+
+
+def windows(w: list[bytes]) -> list[bytes]:
+    """Each run of WINDOW words, all of them where there are fewer, with a mark in front of each word and at the end."""
+    return [START + START.join(w[i : i + WINDOW]) + START for i in range(max(1, len(w) - WINDOW + 1))] if w else []
+
+
+def pieces(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, a piece at a time; each piece but the first begins with the last WINDOW - 1 words of the one before.
+
+    Pieces are cut at white space; a word beyond PIECE characters is cut as well.
+    """
+    at, carried = 0, []
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        if end < len(text):
+            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            end = cut + 1 if cut > at else end
+        w = words(text[at:end])
+        if carried and w[:1] == carried[-1:]:
+            w = w[1:]
+        if w:
+            yield carried + w
+            carried = (carried + w)[1 - WINDOW :] if WINDOW > 1 else []
+        at = end
 
 
 def distinct(documents: list[list[bytes]]) -> list[list[bytes]]:
@@ -56,122 +93,134 @@ def distinct(documents: list[list[bytes]]) -> list[list[bytes]]:
     return out
 
 
-def saving_strings(toxic: list[list[bytes]], ordinary: list[list[bytes]], room: int = TOXIC_BYTES) -> list[bytes]:
-    """Beginnings of words, and whole words, that save most bytes over the toxic documents; a document counts once for a word.
+def runs(raw: bytes, length: int) -> np.ndarray:
+    """A hash for each run of so many bytes."""
+    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    n = max(0, len(a) - length + 1)
+    h = np.full(n, length, np.uint64)
+    for k in range(length):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n] + np.uint64(1)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
-    Greedy: each string takes the words it covers, so that the next one counts only what is left.  Ordinary documents' uses weigh against
-    a string twenty times, at equal numbers of documents.
+
+def typical(toxic: list[bytes], ordinary: list[bytes], length: int) -> np.ndarray:
+    """Hashes of the runs that set toxic documents apart.
+
+    A run counts once for a document.  Its share of toxic documents is RATIO times that of ordinary ones, and the likelihood ratio of two shares against
+    one common share is greater than the number of different runs, so that less than one of them is expected to be here by chance.
     """
-    a, b = Counter(x for w in toxic for x in set(w)), Counter(x for w in ordinary for x in set(w))
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
-    least = max(3, 0.02 * n)
-    uses = Counter()
-    for x, c in a.items():
-        y = x[:24] + b" "
-        for k in range(3, len(y) + 1):
-            uses[y[:k]] += c
-    # so many uses that fewer than one string of all is expected to have them in toxic documents alone by chance
-    least = max(least, np.log(max(2, len(uses))) / np.log((n + m) / n))
-    holders: dict[bytes, list[bytes]] = {g: [] for g, c in uses.items() if c >= least}
-    del uses
-    for x in a:
-        y = x[:24] + b" "
-        for k in range(3, len(y) + 1):
-            if (held := holders.get(y[:k])) is not None:
-                held.append(x)
-    weight = {x: float(a[x]) for h in holders.values() for x in h}
-    against: dict[bytes, float] = defaultdict(float)
-    for x, c in b.items():
-        y = x[:24] + b" "
-        for k in range(3, len(y) + 1):
-            if y[:k] in holders:
-                against[y[:k]] += 20 * c * n / m
-    left = set(weight)
-
-    def gain(g):
-        uses = sum(weight[x] for x in holders[g] if x in left)
-        return (uses - against[g]) * len(g) if uses >= least else 0.0
-
-    heap = [(-gain(g), g) for g in holders]
-    heapq.heapify(heap)
-    out, used = [], 0
-    while heap and used < room:
-        _, g = heapq.heappop(heap)
-        now = gain(g)
-        if now <= 0:
-            continue
-        if heap and now < -heap[0][0]:
-            heapq.heappush(heap, (-now, g))
-            continue
-        out.append(g)
-        used += len(g) + len(START)
-        left.difference_update(holders[g])
+    (a, held), (b, other) = (np.unique(np.concatenate([np.unique(runs(d, length)) for d in documents]), return_counts=True) for documents in (toxic, ordinary))
+    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+    against = np.where(b[at] == a, other[at], 0) if len(b) else np.zeros(len(a), np.int64)
+    n, m = len(toxic), len(ordinary)
+
+    def likelihood(k, of, p):
+        p = np.clip(p, 1e-9, 1 - 1e-9)
+        return k * np.log(p) + (of - k) * np.log(1 - p)
+
+    common = (held + against) / (n + m)
+    gain = likelihood(held, n, held / n) + likelihood(against, m, against / m) - likelihood(held, n, common) - likelihood(against, m, common)
+    return a[(gain > np.log(max(2, len(a)))) & (held / n > RATIO * against / m)]
+
+
+def passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """The stretches of toxic documents that runs which set them apart cover: those that runs within words cover, else those that runs over several words do."""
+    mine, others = ([b"".join(b" " + x for x in w) + b" " for w in documents] for documents in (toxic, ordinary))
+    covered = [np.zeros((2, len(d)), bool) for d in mine]
+    for length in GRAMS:
+        apart = typical(mine, others, length)
+        for d, cover in zip(mine, covered):
+            at = np.flatnonzero(np.isin(runs(d, length), apart))
+            if len(at):
+                blanks = np.cumsum(np.frombuffer(d, np.uint8) == 32)
+                inner = blanks[at + length - 2] == blanks[at]  # no blank but at the ends
+                for k in range(length):
+                    cover[0, at + k] = True
+                    cover[1, at[inner] + k] = True
+    out = []
+    for d, cover in zip(mine, covered):
+        whole, inner = ([(int(a), int(b)) for a, b in zip(np.flatnonzero(e == 1), np.flatnonzero(e == -1))] for e in (np.diff(np.pad(c.astype(np.int8), 1)) for c in cover))
+        starts = np.array([a for a, _ in inner])
+        for a, b in whole:
+            within = inner[slice(*np.searchsorted(starts, [a, b]))]
+            out += [d[x:y] for x, y in within or [(a, b)] if len(d[x:y].strip()) > 2]
     return out
 
 
+def trained(samples: list[bytes]) -> bytes:
+    """A zstandard dictionary of samples, cut to DICTIONARY_BYTES; the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT_BYTES, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:]
+
+
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    content = dictionary + CARRIER
+    settings = zstandard.ZstdCompressionParameters(
+        window_log=14, hash_log=12, chain_log=12, search_log=4, strategy=zstandard.STRATEGY_GREEDY, min_match=MATCH,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings)
+
+
 class Distance:
-    """The two dictionaries, and the difference of a window's compressed lengths."""
+    """The two dictionaries, and the differences of windows' compressed lengths."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = ordinary, toxic
-        self.carrier = ordinary[-CARRIER_BYTES:]
-        self.known: dict[bytes, int] = {}
-        # the toxic part comes first, so that ordinary text lies at the same distances in both
-        self.pair = [self._compressor(ordinary), self._compressor(toxic + ordinary)]
-
-    @staticmethod
-    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        bare = {"format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        return zstandard.ZstdCompressor(
-            dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=len(content), **bare))
-
-    def of(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves over a window of one word with the marks at its ends."""
-        found = self.known.get(word)
-        if found is None:
-            window = self.carrier + START + word + b" "
-            found = len(self.pair[0].compress(window)) - len(self.pair[1].compress(window))
-            if len(word) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        self.pair = compressor(ordinary), compressor(toxic)
+
+    def of(self, some: list[bytes]) -> np.ndarray:
+        """For each window, the bytes that the toxic dictionary saves over the ordinary one."""
+        out = np.empty(len(some), np.int64)
+        for a in range(0, len(some), AT_ONCE):
+            held = [CARRIER + x for x in some[a : a + AT_ONCE]]
+            one, other = (c.multi_compress_to_buffer(held, threads=1) for c in self.pair)
+            out[a : a + len(held)] = [len(one[i]) - len(other[i]) for i in range(len(held))]
+        return out
 
 
 class Model:
-    def __init__(self, ordinary: bytes, toxic: bytes, threshold: int = 2, weights: tuple[float, ...] = (-3.0, 1.0, 0.0, 0.0)):
+    def __init__(self, ordinary: bytes, toxic: bytes, threshold: int = MATCH, weights: tuple[float, ...] = (-3.0, 1.0, 0.0, 0.0)):
         self.ordinary, self.toxic, self.threshold, self.weights = ordinary, toxic, threshold, tuple(weights)
-        self._distance = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_distance": None}
-
-    def evidence(self, text: str | None) -> tuple[int, int, int]:
-        """Sum and greatest of the differences at or above the threshold, and the number of windows."""
-        if self._distance is None:
-            self._distance = shared_distance(self.ordinary, self.toxic)
-        of, known, least = self._distance.of, self._distance.known, self.threshold
-        total = most = 0
-        w = words(text or "")
-        for x in w:
-            d = known.get(x)
-            if d is None:
-                d = of(x)
-            if d >= least:
-                total += d
-                most = max(most, d)
-        return total, most, len(w)
 
-    def score(self, text: str | None) -> float:
-        """0 to 1.  A text without a window, or without one that the toxic dictionary shortens, has the score of no evidence."""
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """0 to 1 for each text.  A text without a window, or without one that the toxic dictionary shortens, has the score of no evidence."""
         if not self.toxic:
-            return 0.0
-        return float(1 / (1 + np.exp(-(inputs(*self.evidence(text)) @ np.array(self.weights)))))
+            return np.zeros(len(texts))
+        count, found, owner, held, room = np.zeros(len(texts), np.int64), [], [], [], 0
+        distance = shared_distance(self.ordinary, self.toxic)
+
+        def flush():
+            if held:
+                d = distance.of(held)
+                on = np.flatnonzero(d >= self.threshold)
+                found.append(np.stack([np.repeat([o for o, _ in owner], [n for _, n in owner])[on], d[on]]))
+                owner.clear()
+                held.clear()
+
+        for i, text in enumerate(texts):
+            for w in pieces(text or ""):
+                some = windows(w)
+                count[i] += len(some)
+                owner.append((i, len(some)))
+                held += some
+                if len(held) >= AT_ONCE:
+                    flush()
+        flush()
+        at, d = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        total, most = np.zeros(len(texts)), np.zeros(len(texts))
+        np.add.at(total, at, d)
+        np.maximum.at(most, at, d)
+        return 1 / (1 + np.exp(-(inputs(total, most, count) @ np.array(self.weights))))
 
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
-def inputs(total: int, most: int, windows: int) -> np.ndarray:
-    return np.array([1.0, np.log1p(total), np.log1p(most), np.log1p(windows) if total else 0.0])
+
+def inputs(total: np.ndarray, most: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What the curve sees of documents: sum and greatest of the differences at or above the threshold, and the number of windows."""
+    return np.stack([np.ones(len(total)), np.log1p(total), np.log1p(most), np.where(total > 0, np.log1p(count), 0)], axis=1)
 
 
 _DISTANCES: dict[tuple[bytes, bytes], Distance] = {}
@@ -186,28 +235,27 @@ def shared_distance(ordinary: bytes, toxic: bytes) -> Distance:
 
 
 def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model:
-    """Dictionaries from one half of each class, threshold and curve from the other half."""
-    toxic, ordinary = distinct([words(t) for t in toxic_texts]), distinct([words(t) for t in ordinary_texts])
+    """Dictionaries from one half of each class, threshold and curve from the other half.  Without a toxic passage all scores are 0."""
+    toxic, ordinary = (distinct([w for w in map(words, texts) if w]) for texts in (toxic_texts, ordinary_texts))
     if not toxic or not ordinary:
-        return Model(b" " * CARRIER_BYTES, b"")
-    seen = [x for k, x in enumerate(toxic) if k % 2 == 0 or len(toxic) < 4], [x for k, x in enumerate(ordinary) if k % 2 == 0 or len(ordinary) < 4]
-    samples = [b"".join(START + x + b" " for x in w[i : i + 6]) for w in seen[1] for i in range(0, len(w), 6)][:100_000]
-    try:
-        content = zstandard.train_dictionary(4 * ORDINARY_BYTES, samples, level=LEVEL).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        content = b"".join(samples)[-ORDINARY_BYTES:]
-    strings = saving_strings(*seen)
-    model = Model(content.rjust(CARRIER_BYTES), b"".join(START + g for g in reversed(strings)))
-    if not strings:
-        return model
-    held = [(x, 1) for k, x in enumerate(toxic) if k % 2 or len(toxic) < 4] + [(x, 0) for k, x in enumerate(ordinary) if k % 2 or len(ordinary) < 4]
-    labels = np.array([y for _, y in held], float)
-    documents = [b" ".join(x).decode("utf-8", "replace") for x, _ in held]
+        return Model(b"", b"")
+    seen, kept = ([x[k::2] if len(x) > 3 else x for x in (toxic, ordinary)] for k in (0, 1))
+    samples = passages(*seen)
+    if not samples:
+        return Model(b"", b"")
+    everyday = sum(max(1, len(w) - WINDOW + 1) for w in seen[1])
+    plain = list(itertools.islice((x for w in seen[1] for x in windows(w)), 0, None, max(1, -(-everyday // TRAINED_WINDOWS))))
+    model = Model(trained(plain), trained([p.replace(b" ", START) for p in samples]))
+
+    labels = np.repeat([1.0, 0.0], [len(kept[0]), len(kept[1])])
+    distance = shared_distance(model.ordinary, model.toxic)
+    documents = [distance.of(windows(w)) for w in itertools.chain(*kept)]
+    count = np.array([len(d) for d in documents])
     best = None
-    # the threshold on a window's difference that tells the held texts apart best
-    for threshold in (1, 2, 3, 4, 5):
-        model.threshold = threshold
-        x = np.array([inputs(*model.evidence(d)) for d in documents])
+    # the threshold on a window's difference that tells the kept texts apart best
+    for threshold in range(1, 10):
+        over = [d[d >= threshold] for d in documents]
+        x = inputs(np.array([d.sum() for d in over], float), np.array([d.max(initial=0) for d in over], float), count)
         weights = logistic(x, labels)
         p = 1 / (1 + np.exp(-(x @ weights)))
         loss = -np.mean(labels * np.log(p + 1e-9) + (1 - labels) * np.log(1 - p + 1e-9))
@@ -232,26 +280,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60)
 def fit_on(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents (doc_id, text; doc_id, toxic 0/1) whose crc32(doc_id) mod 4 is not 2, at most `sample` of each class.
 
-    Null labels, ids and texts are left out; a document with several labels counts by the highest.
+    Null labels, ids and texts, empty texts and those above SAMPLE_CHARS characters are left out; a document with several labels counts by the highest.  The
+    sample has the lowest hashes of id and text, up to SAMPLE_BYTES characters of a class, and equal rows once: its bounds hold however often an
+    id repeats.  Without documents of both classes all scores are 0.
     """
-    spark = documents.sparkSession
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(split_remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = None
+    ids = None
     for y in (0, 1):
         # a few thousand ids at most, whatever the size of the tables
         some = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    ids = spark.createDataFrame([(int(r.doc_id), int(r.toxic)) for r in chosen.collect()], "doc_id long, toxic int")
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    model = fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
-    del rows
+        ids = some if ids is None else ids.unionByName(some)
+    ids = documents.sparkSession.createDataFrame([(int(r.doc_id), int(r.toxic)) for r in ids.collect()], "doc_id long, toxic int")
+    found = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id").select(
+        "toxic", "text", F.xxhash64("doc_id", "text").alias("draw"), F.length("text").alias("size"))
+    rows = []
+    for y in (0, 1):
+        # which rows, without their texts; then the texts of these
+        drawn = found.where(F.col("toxic") == y).groupBy("draw").agg(F.first("size").alias("size")).orderBy("draw").limit(sample).collect()
+        sizes = np.cumsum([r["size"] for r in drawn])
+        rows += [(r["draw"],) for r, upto in zip(drawn, sizes) if upto <= SAMPLE_BYTES]
+    chosen = documents.sparkSession.createDataFrame(rows, "draw long")
+    texts = found.join(F.broadcast(chosen), "draw").select("draw", "toxic", "text").dropDuplicates(["draw"]).collect()
+    texts.sort(key=lambda r: r.draw)
+    model = fit([r.text for r in texts if r.toxic == 1], [r.text for r in texts if r.toxic == 0])
+    del texts
     trim()
     return model
 
 
 def with_scores(df: DataFrame, model: Model, text: str = "text", column: str = "toxicity") -> DataFrame:
-    """The table with a score column appended; all rows and other columns as they are.  Null and empty texts score as without evidence."""
+    """The table with a score column appended; all rows and other columns as they are.  Null and empty texts score as without evidence.
+
+    Repeated rows score alike, an empty table stays empty, and a very long text is read whole, a piece at a time.  A table that has the column is refused.
+    """
     prepare(df.sparkSession)
     if column in df.columns:
         raise ValueError(f"the table has a column {column}")
@@ -260,8 +321,7 @@ def with_scores(df: DataFrame, model: Model, text: str = "text", column: str = "
 
     def run(batches):
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at).to_pylist()), pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(lean(run), f"{schema}, `{column}` double")

@@ -65,6 +65,61 @@ def test_toxicity_reads_whole_texts():
     assert model.score(clean * 50) < 0.3 <= model.score(clean * 20 + " grolk snarv grolker snarv grolk")
 
 
+def plain_score(model, text):
+    """The score by a loop over pairs of words, each compressed on its own."""
+    import math
+
+    raw = "".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()
+    raw = [w for i, w in enumerate(raw) if i == 0 or w != raw[i - 1]]
+    pairs = [raw[i : i + 2] for i in range(max(1, len(raw) - 1))] if raw else []
+    lengths = [[len(toxicity.compressor(d).compress(toxicity.CARRIER + b"".join(b"\0\1" + w.encode() for w in pair) + b"\0\1")) for d in (model.ordinary, model.toxic)] for pair in pairs]
+    over = [a - b for a, b in lengths if a - b >= model.threshold]
+    x = (1, math.log1p(sum(over)), math.log1p(max(over, default=0)), math.log1p(len(pairs)) if over else 0)
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+
+
+def test_toxicity_against_plain_zstandard():
+    rows = corpus()
+    model = toxicity.fit([t for _, t, _, y in rows if y], [t for _, t, _, y in rows if not y])
+    texts = [t for _, t, _, _ in rows[:60]] + ["", "grolk", "grolk grolk grolk", "12 3", "Über SNARV, grolker!", "the er " * 3000 + "snarvung snarv er grolk"]
+    for found, text in zip(model.scores(texts), texts):
+        assert found == pytest.approx(plain_score(model, text), abs=1e-12)
+
+
+def test_toxicity_in_pieces(monkeypatch):
+    rows = corpus()
+    model = toxicity.fit([t for _, t, _, y in rows if y], [t for _, t, _, y in rows if not y])
+    texts = [" ".join(t for _, t, _, _ in rows[k : k + 9]) for k in range(0, 90, 9)] + ["the the the grolk grolk the"]
+    whole = model.scores(texts)
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 17)
+    assert (model.scores(texts) == whole).all()
+
+
+def test_toxic_passages_are_runs_of_bytes():
+    """Parts of words, words and phrases of words that ordinary documents have as well: nothing is looked up in a list."""
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("the er on an re is sch und".split()) for _ in range(rng.randint(1, 3))) for _ in range(400)] + ["bad", "apple"]
+    documents = [[rng.choice(plain) for _ in range(80)] for _ in range(800)]
+    toxic = [[*d, "bad", "apple", *d[:9], "zorgling" + rng.choice(plain)] for d in documents[:200]]
+    found = {p for p in toxicity.passages([[w.encode() for w in d] for d in toxic], [[w.encode() for w in d] for d in documents[200:]])}
+    assert any(b"zorgling" in p for p in found) and any(b"bad apple" in p for p in found)
+
+
+def test_toxicity_fit_is_bounded(spark):
+    """However often an id repeats, with one text or with many."""
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, f"many texts {k}") for k in range(3000)] + [(3, "x y z")] * 500 + [(None, f"none {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.fit = toxicity.fit, lambda a, b: seen.append((len(a), len(b)))
+    try:
+        toxicity.fit_on(docs, labels, sample=50)
+    finally:
+        toxicity.fit = real
+    assert max(seen[0]) <= 50 and min(seen[0]) > 0
+
+
 def test_language_held_out(spark):
     rows = corpus()
     docs = spark.createDataFrame([r[:3] for r in rows] + [(9001, None, "aa"), (9002, "the er", None)], "doc_id long, text string, lang string")
