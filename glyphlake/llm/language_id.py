@@ -5,23 +5,23 @@ Spherical k-means gives each language a few centroids; the prediction is the lan
 rejected if it is farther from it than nearly all training texts of its length are from centroids made without them.  Cosines grow with length, so
 training texts count whole and cut to several lengths, and limits are interpolated between these.
 
-The fit reads at most about SAMPLE texts of each language, a share of them by the hash of their id; prediction reads whole texts.
+The fit reads at most SAMPLE texts of each language, those with the lowest hashes of id and text; prediction reads whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, prepare, spans_of_bytes, split_remainder, trim
 
 DIMENSIONS = 4096
 CENTROIDS = 4
-#: Texts of each language, and of all, that a fit reads, about; and their longest in characters.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 600, 4000, 50_000
-#: Languages that a fit learns at most.
+#: Texts of each language, and of all, that a fit reads at most, and characters of all of them; longer texts than SAMPLE_CHARS are not among them.
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES, SAMPLE_CHARS = 600, 4000, 24 << 20, 50_000
+#: Languages that a fit learns at most, those with most texts: the model holds CENTROIDS vectors for each.
 LANGUAGES = 400
 #: A text is rejected below MARGIN of this quantile of the cosines that training texts of its length have to a centroid made without them.
 QUANTILE, MARGIN = 0.01, 0.85
@@ -177,17 +177,33 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on (doc_id, text, lang) with non-null text and lang and crc32(doc_id) mod 4 other than 2."""
-    usable = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(split_remainder(F.col("doc_id")) != 2).where(F.length("text") <= SAMPLE_CHARS)
-    # the fit knows so many languages at most, those with most texts; what is collected is a row for each
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    """Fit on (doc_id, text, lang) with non-null text and lang and crc32(doc_id) mod 4 other than 2.
+
+    At most `sample` texts a language, and so many that all stay below SAMPLE_ALL and SAMPLE_BYTES; empty texts and those above SAMPLE_CHARS characters are
+    left out, and equal rows count once.  Ids may repeat or be null: rows are drawn by the hash of id and text, so the bounds hold for them as well.  Without
+    any such text the model knows no language.
+    """
+    usable = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(split_remainder(F.col("doc_id")) != 2).where(F.length("text").between(1, SAMPLE_CHARS))
+    keyed = usable.withColumn("draw", F.xxhash64("doc_id", "text", "lang"))
+    # what is collected of languages is a row for each that the fit knows
+    sizes = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
     sample = min(sample, max(1, SAMPLE_ALL // max(1, len(sizes))))
+    # twice as many as are wanted come through, by a share of the hashes of each language; which rows these are, without their texts, then the texts
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(sample / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    rows = usable.where(draw < share).collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * sample + 20) / max(1, n)))).otherwise(share)
+    sized = keyed.where(F.pmod("draw", F.lit(1_000_003)) / 1_000_003 <= share).groupBy("lang", "draw").agg(F.first(F.length("text")).alias("size"))
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= sample)
+    drawn = sorted((r["draw"], r["size"], r["lang"]) for r in ranked.collect())
+    room = dict.fromkeys(sizes, SAMPLE_BYTES // max(1, len(sizes)))
+    chosen = []
+    for draw, size, lang in drawn:
+        if size <= room[lang]:
+            room[lang] -= size
+            chosen.append((draw,))
+    chosen = documents.sparkSession.createDataFrame(chosen, "draw long")
+    rows = keyed.join(F.broadcast(chosen), "draw").select("draw", "text", "lang").dropDuplicates(["draw"]).collect()
+    rows.sort(key=lambda r: r.draw)
     model = fit([r.text for r in rows], [r.lang for r in rows])
     del rows
     trim()
@@ -195,7 +211,11 @@ def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def with_language(df: DataFrame, model: Model, text: str = "text", columns: tuple[str, str, str] = ("language", "cosine", "accepted")) -> DataFrame:
-    """The table with language, cosine and acceptance appended; all rows and other columns as they are."""
+    """The table with language, cosine and acceptance appended; all rows and other columns as they are.
+
+    Texts that are null, empty or without a letter are `und`, 0 and not accepted; repeated rows get the same; very long texts are read whole; an empty table
+    stays empty.  A table that has one of the columns is refused.
+    """
     prepare(df.sparkSession)
     if set(columns) & set(df.columns):
         raise ValueError(f"the table has a column of {', '.join(columns)}")

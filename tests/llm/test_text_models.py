@@ -129,6 +129,52 @@ def test_language_held_out(spark):
     assert found[9001].language == "und" and not found[9001].accepted
 
 
+def test_language_fit_is_bounded(spark):
+    """Null ids, an id of many texts and a row that repeats don't widen the sample."""
+    rows = corpus()
+    docs = spark.createDataFrame(
+        [r[:3] for r in rows] + [(None, f"the er on {k}", "aa") for k in range(2000)] + [(1, f"sch und {k}", "bb") for k in range(1000)] + [(3, "the same", "aa")] * 1000, "doc_id long, text string, lang string")
+    seen = []
+    real, language_id.fit = language_id.fit, lambda texts, langs: seen.append((texts, langs))
+    try:
+        language_id.fit_on(docs, sample=50)
+    finally:
+        language_id.fit = real
+    texts, langs = seen[0]
+    assert langs.count("aa") == langs.count("bb") == 50 and len(set(zip(texts, langs))) >= 98
+
+
+def plain_language(model, text):
+    """The nearest centroid of a text, n-gram by n-gram."""
+    import math
+
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()]
+    place = {}
+    for n in (1, 2, 3):
+        for i in range(len(raw) - n + 1):
+            gram = raw[i : i + n]
+            if all(b == 32 for b in gram):
+                continue
+            value = 0
+            for b in gram:
+                value = value * 257 + b if value else b
+            at = value if n == 1 else 256 + ((value * 0x9E3779B1 >> 7) & 0xFFFFFFFF) % (language_id.DIMENSIONS - 256)
+            place[at] = place.get(at, 0) + float(model.idf[at])
+    norm = math.sqrt(sum(v * v for v in place.values())) or 1.0
+    cosines = [sum(v * float(c[k]) for k, v in place.items()) / norm for c in model.centroids]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    return model.languages[best], cosines[best]
+
+
+def test_language_against_plain_vectors():
+    rows = corpus(n=200)
+    model = language_id.fit([r[1] for r in rows], [r[2] for r in rows])
+    texts = [r[1] for r in rows[:25]] + ["x", "Ärger, the er!", "schön und the", "q" * 300]
+    for (lang, cosine, _), text in zip(model.predict(texts), texts):
+        plain, near = plain_language(model, text)
+        assert lang == plain and cosine == pytest.approx(near, abs=1e-4)
+
+
 def test_language_edge(spark):
     rows = corpus()
     model = language_id.fit([r[1] for r in rows], [r[2] for r in rows])
