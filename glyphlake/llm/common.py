@@ -36,10 +36,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a local session has a folder of its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_glyphlake_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="glyphlake-shared-")
@@ -47,8 +49,45 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/glyphlake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/glyphlake/{name}-{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are written within are removed at the end, but for those taken out of the list."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        removed(spark, *made)
+
+
+#: A key that holds this share of all rows is joined by broadcast; there are at most so many of them as the share goes into one.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows LEFT JOIN table, which has one row for each key and in `weight` how many of the `total` rows have it.  No task gets all rows of a hot key.
+
+    Keys of a thousandth of all rows or more, of which there can be a thousand at most, are broadcast.  Their rows then take part in the join of the others
+    under keys of their own that nothing matches, dealt out by `row` or all columns.  `weight` is not in the result.
+    """
+    values = [c for c in table.columns if c not in (*keys, weight)]
+    hot = table.where(F.col(weight) * HOT_SHARE >= total).select(*keys, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in values))
+    cold = table.where(F.col(weight) * HOT_SHARE < total).select(*keys, F.lit(0).alias("__part"), *values)
+    spread = F.pmod(F.xxhash64("row") if "row" in rows.columns else F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int") + 1
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", F.when(F.col("__hot"), spread).otherwise(F.lit(0)))
+    joined = marked.join(cold, [*keys, "__part"], "left")
+    return joined.select(*rows.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values))
 
 
 MERGE_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"

@@ -5,8 +5,8 @@ adjacent pairs of names are named in the same way, level by level, until one int
 documents have the same (number of blocks, last name) exactly if their normalised texts are equal: a name stands for
 content that was compared in full during a sort, so no hash collision can join two texts.
 
-Shuffles: block contents travel once, compressed, and only once for each map task that has them (a block that a third of all
-documents share is one row per task).  What comes back is joined by integers.
+Shuffles: block contents travel once, and only once for each map task that has them (a block that a third of all
+documents share is one row per task); Spark compresses them on their way.  What comes back is joined by integers.
 """
 
 from __future__ import annotations
@@ -14,11 +14,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, prepare, removed, task_base, written
+from .common import lean, prepare, removed, spread_join, task_base, written
 
 #: Bytes of one block.  Levels of naming: log2 of the longest text's blocks.
 BLOCK_BYTES = 16384
@@ -35,26 +34,25 @@ def _cut(block_bytes: int):
         task = task_base()
         seen: dict[bytes, int] = {}
         room, count, row = LOCAL_BYTES, 0, -1
-        z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 row += 1
+                number = task | row if place is None else place
                 norm = raw.translate(None, BLANK)
                 n = max(1, -(-len(norm) // block_bytes))
                 for k in range(n):
-                    # compression is deterministic and lossless: equal blocks give equal bytes, different ones different bytes
-                    packed = z.compress(norm[k * block_bytes : (k + 1) * block_bytes])
-                    content, local = None, seen.get(packed)
+                    block = norm[k * block_bytes : (k + 1) * block_bytes]
+                    content, local = None, seen.get(block)
                     if local is None:
-                        content, local = packed, task | count
+                        content, local = block, task | count
                         count += 1
-                        if len(packed) <= room:
-                            seen[packed] = local
-                            room -= len(packed)
+                        if len(block) <= room:
+                            seen[block] = local
+                            room -= len(block)
                     first = k == 0
-                    for column, value in zip(columns, (task | row, doc, k, n, local, content, len(raw.decode()) if first else None, hashlib.sha256(norm).hexdigest() if first else None)):
+                    for column, value in zip(columns, (number, doc, k, n, local, content, len(raw.decode()) if first else None, hashlib.sha256(norm).hexdigest() if first else None)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -78,15 +76,15 @@ def _named(sorted_contents: DataFrame) -> DataFrame:
     return sorted_contents.mapInArrow(lean(run), "local long, name long")
 
 
-def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = BLOCK_BYTES, place: Column | None = None) -> DataFrame:
     """One row for each input row: row, doc, blocks, name, chars, sha.
 
     (blocks, name) is equal exactly for equal normalised texts.  row_id is a long; it may repeat or be null, as `row` tells
-    rows apart.  A null text is empty.  chars counts the code points of the original text; sha is the SHA-256 of the
+    rows apart, and is `place` where that is given, a column of distinct longs.  A null text is empty.  chars counts the code points of the original text; sha is the SHA-256 of the
     normalised one.
     """
     prepare(df.sparkSession)
-    source = df.select(row_id.cast("long").alias("doc"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
+    source = df.select(row_id.cast("long").alias("doc"), F.coalesce(text, F.lit("")).cast("binary").alias("text"), (F.lit(None) if place is None else place).cast("long").alias("place"))
     cut, cut_path = written(source.mapInArrow(lean(_cut(block_bytes)), "row long, doc long, block int, blocks int, local long, content binary, chars long, sha string"), "blocks", "none")
 
     # Level 0 sorts contents.  Each row is one task's first sight of a block: a common block has one row for each task.
@@ -109,16 +107,17 @@ def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = B
     return done
 
 
-def dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each input row: doc_id, keep_id, group_size, kept, text_sha256.
+def dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, place: str | None = None) -> DataFrame:
+    """For each input row: doc_id, keep_id, group_size, kept, text_sha256; with `place`, a column of distinct longs that tells rows apart, also place.
 
     Of rows whose texts are equal without blank characters, the one with the most code points stays, then the smallest id, then
-    the first in the input.  Null texts are empty and equal to other empty ones; a null id sorts last; an empty table gives an
-    empty result.  Other columns of the input are ignored, whatever their names.
+    the first in the input (the lowest place): one row of each group is kept, even if its id repeats.  Null texts are empty and equal to other empty
+    ones; a null id sorts last; an empty table gives an empty result.  Other columns of the input are ignored, whatever their names.
     """
-    found = identities(df, F.col(row_id), F.col(text), block_bytes)
+    found = identities(df, F.col(row_id), F.col(text), block_bytes, None if place is None else F.col(place))
     best = F.max(F.struct(F.col("chars"), (-F.col("doc")).alias("minus_doc"), (-F.col("row")).alias("minus_row"))).alias("best")
-    groups = found.groupBy("blocks", "name").agg(best, F.count("*").alias("group_size"))
-    return found.join(groups, ["blocks", "name"]).select(
+    groups, _ = written(found.groupBy("blocks", "name").agg(best, F.count("*").alias("group_size")).withColumn("weight", F.col("group_size")), "groups", narrow=True)
+    joined = spread_join(found, groups, ["blocks", "name"], "weight", found.count())
+    return joined.select(
         F.col("doc").alias("doc_id"), (-F.col("best.minus_doc")).alias("keep_id"), "group_size",
-        (F.col("row") == -F.col("best.minus_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+        (F.col("row") == -F.col("best.minus_row")).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("row").alias("place")] if place else []))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, prepare, removed, spans_of_bytes, task_base, utf8_buffers, written
+from .common import lean, prepare, removed, spans_of_bytes, spread_join, task_base, utf8_buffers, written
 
 WORDS = 5
 BANDS, ROWS = 45, 7
@@ -161,10 +161,35 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return h.view(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = utf8_buffers(batch.column(column))
+def long_set(data: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The set of one long text: pieces that end at blanks and begin with the last words of the one before, so that memory is that of a piece and of the set."""
+    _powers(CHUNK)
+    found, at = [], 0
+    while True:
+        end = at + CHUNK
+        while True:
+            end = min(end, len(data))
+            blank = np.flatnonzero(_TABLES["blank"][data[end : end + 4096]]) if end < len(data) else [0]
+            solid = ~_TABLES["blank"][data[at:end]]
+            starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+            if len(blank) and (len(starts) >= words or end == len(data)):
+                break
+            end += CHUNK if len(blank) else 4096
+        end += int(blank[0])
+        found.append(shingle_sets(data[at:end], np.array([0, end - at]), words)[0])
+        if end == len(data):
+            return np.unique(np.concatenate(found))
+        at += int(starts[1 - words])
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, hashes, offsets) of spans of texts: about CHUNK bytes together, or one long text."""
     for a, b in spans_of_bytes(offsets, CHUNK):
-        yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        if b == a + 1 and offsets[b] - offsets[a] > CHUNK:
+            hashes = long_set(data[offsets[a] : offsets[b]])
+            yield a, b, hashes, np.array([0, len(hashes)])
+        else:
+            yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 SIGNED = "row long, id long, size long, sum1 long, sum2 long, bands array<long>, packed binary"
@@ -176,14 +201,15 @@ def _signed(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data, whole = utf8_buffers(batch.column(1))
-        for a, b, hashes, offsets in _texts(batch, 1):
+        for a, b, hashes, offsets in sets_of(data, whole):
             sizes = np.diff(offsets)
             keys = band_keys(signatures(hashes, offsets)).ravel()
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
             sums = [(np.add.reduceat(np.append(x, np.uint64(0)), offsets[:-1]) * (sizes > 0)).view(np.int64) for x in (hashes, _mixed(hashes ^ _BASE))]
             packed = [z.compress(data[whole[i] : whole[i + 1]]) for i in range(a, b)]
+            numbers = batch.column(2).slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, sums), bands, pa.array(packed, pa.binary())],
+                [numbers if not numbers.null_count else pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, sums), bands, pa.array(packed, pa.binary())],
                 names=["row", "id", "size", "sum1", "sum2", "bands", "packed"])
             row += b - a
 
@@ -287,8 +313,7 @@ def _sets(batches):
     for batch in batches:
         texts = [z.decompress(p.as_buffer()) for p in batch.column(1)]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        for a, b in spans_of_bytes(offsets, CHUNK):
-            hashes, ends = shingle_sets(np.frombuffer(b"".join(texts[a:b]), np.uint8), offsets[a : b + 1] - offsets[a])
+        for a, b, hashes, ends in sets_of(np.frombuffer(b"".join(texts), np.uint8), offsets):
             sets = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sets, pa.binary())], names=["row", "units", "hashes"])
 
@@ -361,22 +386,26 @@ def _compared(signed: DataFrame, candidates: DataFrame, percent: int) -> DataFra
     return _units(split, percent).groupBy("row").agg(F.flatten(F.collect_list("units")).alias("units"))
 
 
-def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """For each input row: doc_id, n_shingles, component_id, kept.
+def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT, place: str | None = None) -> DataFrame:
+    """For each input row: doc_id, n_shingles, component_id, kept; with `place`, a column of distinct longs that tells rows apart, also place and stays.
 
-    component_id is the smallest id that links reach; kept where it is the row's own.  Null, empty and blank texts have no shingle and
-    no link.  Repeated rows are linked with each other; null ids take part, and stand for a component only if it has no other.  Other
+    component_id is the smallest id that links reach; kept where it is the row's own, so several rows of one id are all kept; stays for one row of
+    each component, the one with the smallest id, then the lowest place.  Null, empty and blank texts have no shingle and no link.  Repeated rows are linked
+    with each other; null ids take part, and stand for a component only if it has no other.  Texts of any length are hashed whole, a piece at a time.  Other
     columns are ignored.  An empty table gives an empty result.
     """
     spark = df.sparkSession
     prepare(spark)
-    source = df.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    number = F.lit(None) if place is None else F.col(place)
+    source = df.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), number.cast("long").alias("place"))
     signed, signed_path = written(source.mapInArrow(lean(_signed), SIGNED), "signed", "none")
+    rows, _ = written(signed.select("row", "id", "size", "sum1", "sum2"), "rows", narrow=True)
+    total = rows.count()
 
     # equal sets are one: the first row stands for them
-    classes = signed.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min("row").alias("head"))
-    members, _ = written(signed.select("row", "id", "size", "sum1", "sum2").join(classes, ["size", "sum1", "sum2"], "left").select("row", "id", "size", F.coalesce("head", "row").alias("head")), "members", narrow=True)
-    heads = members.where("row = head and size > 0").select("row", "size")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    classes, _ = written(rows.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min("row").alias("head"), first, F.count("*").alias("n")), "classes", narrow=True)
+    heads = classes.select(F.col("head").alias("row"), "size")
 
     buckets = signed.select("row", "bands").join(heads.select("row"), "row").select(F.explode("bands").alias("key"), "row")
     grouped = components(buckets.repartition("key").sortWithinPartitions("key", "row").mapInArrow(lean(_bucket_links), "a long, b long"), "buckets")
@@ -386,7 +415,11 @@ def near_dedup(df: DataFrame, row_id: str = "doc_id", text: str = "text", percen
     joined = components(dealt.mapInArrow(lean(_verified(percent)), "a long, b long"), "links")
     removed(spark, signed_path, units_path)
 
-    placed = members.join(joined.withColumnRenamed("id", "head"), "head", "left").select("id", "size", F.coalesce("component", "head").alias("component"))
-    named = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    return placed.join(named, "component").select(
-        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # components are told to the classes, and classes to the rows; a class or component of many rows or classes is joined by broadcast
+    placed, _ = written(classes.join(joined.withColumnRenamed("id", "head"), "head", "left").withColumn("component", F.coalesce("component", "head")).withColumnRenamed("head", "row"), "placed", narrow=True)
+    named, _ = written(placed.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("weight")), "named", narrow=True)
+    known, _ = written(spread_join(placed.select("size", "sum1", "sum2", "component", "row", "n"), named, ["component"], "weight", placed.count()).select("size", "sum1", "sum2", "best", "n"), "known", narrow=True)
+    found = spread_join(rows, known, ["size", "sum1", "sum2"], "n", total)
+    component = F.coalesce(F.col("best.id"), F.col("id"))
+    extra = [F.col("row").alias("place"), F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("stays")] if place else []
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *extra)

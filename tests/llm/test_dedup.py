@@ -151,3 +151,30 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 101), (200, 200)]
     found = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """The set of a text that is hashed in pieces is that of the whole text."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["a b c d e f g " * 200, "x" * 3000 + " y z w v u" + " q" * 50, "one two", " " * 1000 + "a b c"] + [" ".join(rng.choice(["aa", "b" * rng.randint(1, 400), "Cc"]) for _ in range(300)) for _ in range(9)]
+    for size in (64, 300, 5000):
+        monkeypatch.setattr(near_dedup, "CHUNK", size)
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            assert (near_dedup.long_set(data) == near_dedup.shingle_sets(data, np.array([0, len(data)]))[0]).all()
+
+
+def test_spread_join(spark):
+    """The same rows as a plain left join, with hot keys, null keys and keys that one side lacks."""
+    from pyspark.sql import functions as F
+
+    from glyphlake.llm import common
+
+    rows = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"))
+    table = rows.where("k is not null and k % 5 <> 3").groupBy("k").agg(F.count("*").alias("n"), F.min("row").alias("v"))
+    got = {(r.row, r.k, r.v) for r in common.spread_join(rows, table, ["k"], "n", 3000).collect()}
+    assert got == {(r.row, r.k, r.v) for r in rows.join(table.drop("n"), "k", "left").select("row", "k", "v").collect()} and len(got) == 3000
+    few = common.spread_join(rows, table, ["k"], "n", 3_000_000).collect()
+    assert {(r.row, r.k, r.v) for r in few} == got

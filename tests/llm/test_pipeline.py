@@ -68,6 +68,33 @@ def test_near_copies_from_eighty_percent(spark):
     assert has == expected and len(strict - expected) == 6
 
 
+def test_decisions_are_for_rows(spark):
+    """An id of several texts, and null ids: one row of each group stays, whatever the others with its id do."""
+    a, b, c = ("one two three four five six seven " + " ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (None, c), (None, a), (None, c + " "), (3, b), (2, b), (4, None), (5, ""), (6, " ")]
+    docs = spark.createDataFrame([(d, t, "aa", "s", 1) for d, t in rows], edge.DOCS).repartition(3)
+    out = corpus_pipeline.exact_copies_out(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (None, c + " "), (6, " ")], key=str)
+    near = [(1, a), (2, a + " tail"), (2, b), (None, b + " tail"), (None, c), (None, c + " tail"), (7, None), (8, ""), (None, "")]
+    docs = spark.createDataFrame([(d, t, "aa", "s", 1) for d, t in near], edge.DOCS).coalesce(1)
+    out = corpus_pipeline.near_copies_out(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (7, None), (8, ""), (None, "")], key=str)
+
+
+def test_scratch_tables_go(spark, folder):
+    import os
+
+    from glyphlake.llm import common
+
+    base, _ = folder
+    shared = f"{common.shared_dir(spark)}/glyphlake".removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.exists(shared) else set()
+    corpus_pipeline.run(spark, base).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+    assert "numbered" not in left and "blocks" not in left and "stage-near_dedup" in left and "stage-exact_dedup" not in left
+
+
 def test_run(spark, folder):
     base, _ = folder
     out = corpus_pipeline.run(spark, base)
