@@ -10,8 +10,11 @@ belongs to it if it always follows the same one of these.  So elements that swap
 between a valid class's elements are slots, named by the element they lie in.  Valid classes' texts are the template's own, with two exceptions: in an
 article only slots without any other text are, and a layout without any other text has none of its own.
 
-From each page the template's own text is dropped, then every slot whose path says it is a menu, header, footer, sidebar, notice, advert, form, or
-comments; of what is left, the slot of the article if there is one, else the slot that holds most of the layout's text, or all.
+Slots whose elements' names say that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are no text.  Of the others, the
+deepest that holds most of the layout's text is its main slot; a page's text is what its main slot holds, in its articles if it has any, without the
+template's own text.  Where a layout has no template, the page's articles are taken, or all that is left.
+
+Elements without class and id are told apart by their place among their equals, so a template is found in bare markup as well.
 """
 
 from __future__ import annotations
@@ -46,6 +49,12 @@ CHROME = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login sidebar side aside rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond related recommended "
     "share sharing social widget widgets toolbar pagination pager skip search form".split())
+#: Parts of names that say nothing of what is inside: related-posts is a menu by its first part, social-history is none.
+PLAIN = frozenset(
+    "area articles bar block body bottom box btn button buttons center col column container content entry footer form group head header icon icons inner input item items label large left link links list "
+    "main medium message module more news nav outer page panel post posts right row section site small stories story text title top up unit view wrap wrapper js is has no the on in to at us".split())
+#: Block levels that a path tells; deeper elements have the path of the last one.  Places among equals, and characters of a class and id, that it tells.
+DEPTH, SIBLINGS, MARK = 40, 4, 200
 CONTAINERS = frozenset("body div section article main td".split())
 #: Elements that make a page's layout, outside of articles.
 FRAME = frozenset("html body div section article main nav header footer aside form".split())
@@ -54,36 +63,50 @@ TEASERS = frozenset("ad ads adv advert adverts advertisement advertising sponsor
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]),
              "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+STOPS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names of wrappers that tell of a part of the page, not of themselves.
+WRAPPER = re.compile(r" (?:has|with|no|is)-\S+ ")
 NUMBER = re.compile(r"[0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "path", "chrome", "article")
+    __slots__ = ("name", "path", "chrome", "article", "depth", "children")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes and "=" in attributes else {}
         mark = ".".join(sorted(found.get("class", "").split())) + ("#" + found["id"] if "id" in found else "")
         if name in ("html", "body"):  # there is one, and its classes often name the page
             mark = ""
-        self.name = name
-        self.path = f"{parent.path if parent else ''}/{name}{'.' + NUMBER.sub('0', mark) if mark else ''}"
+        if len(mark) > MARK:
+            mark = hashlib.blake2b(mark.encode("utf-8", "replace"), digest_size=8).hexdigest()
+        self.name, self.children = name, {}
+        self.depth = parent.depth + 1 if parent else 1
+        part = f"{name}{'.' + NUMBER.sub('0', mark) if mark else ''}"
+        if parent is not None and not mark and name in FRAME and name != "body":
+            before = parent.children[name] = parent.children.get(name, 0) + 1
+            part += f"[{min(before, SIBLINGS)}]" if before > 1 else ""
+        self.path = f"{parent.path if parent else ''}/{part}" if self.depth <= DEPTH else parent.path
         inside = parent is not None and parent.article > 0
         begins = name in ("article", "main") or found.get("role") in ("main", "article")
         #: Depth of the outermost article or main element, or 0.
-        self.article = parent.article if inside else self.path.count("/") if begins else 0
-        words = [w for key in ("class", "id") for w in found.get(key, "").split()]
-        parts = {p.lower() for w in words for p in PART.findall(w)} & CHROME
-        if self.article:  # an article's own header, with its title, is text
-            parts -= {"header"}
+        self.article = parent.article if inside else min(self.depth, DEPTH) if begins else 0
+        # a name says what is inside if all its parts do, or say nothing; outside of articles one part of it is a weak sign
+        sure = weak = False
+        for word in (w for key in ("class", "id") for w in found.get(key, "").split()):
+            parts = {p.lower() for p in PART.findall(word)}
+            said = (parts & CHROME) - ({"header"} if self.article else set())  # an article's own header, with its title, is text
+            sure = sure or (bool(said) and (parts <= CHROME | PLAIN or bool(said & TEASERS and not inside)))
+            weak = weak or (bool(said) and not inside)
         # 2 if an article can't end it, 1 if it is a whole-page form or a word of a compound such as has-sidebar
         own = 0
         if name in DROPPED or (name == "header" and not inside) or found.get("role") in ROLES:
             own = 1 if name == "form" and found.get("role") not in ROLES else 2
-        if parts and name not in ("html", "body", "article", "main"):
-            own = max(own, 2 if parts & TEASERS or parts & {w.lower() for w in words} else 1)
+        if name not in ("html", "body", "article", "main"):
+            own = max(own, 2 if sure and not WRAPPER.search(f" {found.get('class', '')} {found.get('id', '')} ") else 1 if sure or weak else 0)
         inherited = parent.chrome if parent else 0
         if begins and not inside and (inherited == 1 or name == "main" or found.get("role") == "main"):
             inherited = 0
@@ -98,9 +121,55 @@ class Block:
         self.chrome, self.article = (element.chrome, element.article) if element else (0, 0)
 
 
+def tags(page: str) -> Iterable[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of a page's tags; comments, declarations and raw elements have the name ''.
+
+    Each character is looked at a bounded number of times.  A quote that is never closed is a character; a tag that never ends because of its quotes
+    makes quotes characters from there on; one that never ends at all is text.  What is not closed of comments and raw elements reaches to the end.
+    """
+    at, quotes = 0, {'"': True, "'": True}
+    while m := TAG.search(page, at):
+        start = m.start()
+        if m[1]:
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        end = -1
+        if not m[2]:
+            k = m.end()
+            while stop := STOPS.search(page, k):
+                k = stop.end()
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                if quotes[stop[0]]:
+                    close = page.find(stop[0], k)
+                    if close < 0:
+                        quotes[stop[0]] = False
+                    else:
+                        k = close + 1
+            else:
+                quotes = dict.fromkeys(quotes, False)
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        name, attributes = (m[4] or "").lower(), page[m.end() : end]
+        at = end + 1
+        if name in RAW_END and not m[3] and not attributes.endswith("/"):
+            close = RAW_END[name].search(page, at)
+            at, name = close.end() if close else len(page), ""
+        yield start, at, name, bool(m[3]), attributes
+
+
 def parse(page: str) -> tuple[list[Element], list[Block]]:
-    """Block elements and text blocks, each in page order.  Never fails: unclosed and misplaced tags close where the next block says so."""
+    """Block elements and text blocks, each in page order.  Never fails: unclosed and misplaced tags close where the next block says so.
+
+    Time and memory grow with the page, however tags are nested, unclosed or unmatched.
+    """
     stack: list[Element] = []
+    opened: dict[str, int] = {}
     elements: list[Element] = []
     blocks: list[Block] = []
     held: list[str] = []
@@ -113,34 +182,37 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                 blocks[-1].after = len(elements)
             held.clear()
 
+    def close(k: int):
+        for e in stack[k:]:
+            opened[e.name] -= 1
+        del stack[k:]
+
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if not name:
-            continue
-        name = name.lower()
-        if name in INLINE or name == "wbr":
+    for start, end, name, closes, attributes in tags(page):
+        if start > at:
+            held.append(page[at:start])
+        at = end
+        if not name or name in INLINE or name == "wbr":
             continue
         flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+        if closes:
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                close(k)
         elif name not in VOID:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                 if name in CLOSED_BY.get(stack[k].name, ()):
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name in ("ul", "ol", "table", "div", "section", "article"):
                     break
-            element = Element(name, stack[-1] if stack else None, m[4])
+            element = Element(name, stack[-1] if stack else None, attributes)
             elements.append(element)
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/"):
                 stack.append(element)
+                opened[name] = opened.get(name, 0) + 1
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -170,7 +242,7 @@ def _parsed(batches):
             elements, blocks = parse(page or "")
             number: dict[str, int] = {}
             order = [number.setdefault(e.path, len(number)) for e in elements]
-            frame = {e.path for e in elements if e.name in FRAME and e.article in (0, e.path.count("/"))}
+            frame = {e.path for e in elements if e.name in FRAME and e.article in (0, min(e.depth, DEPTH))}
             hosts.append(host_of(url))
             layouts.append(key("\n".join(sorted(frame))))
             texts = [(number.setdefault(b.path, len(number)), b.text, b.article, b.after) for b in blocks if not b.chrome]
@@ -311,7 +383,7 @@ def _templates(pages: DataFrame) -> DataFrame:
 
 
 def _container(path: str) -> bool:
-    return re.split(r"[.#]", path.rsplit("/", 1)[-1], maxsplit=1)[0] in CONTAINERS
+    return re.split(r"[.#\[]", path.rsplit("/", 1)[-1], maxsplit=1)[0] in CONTAINERS
 
 
 def template(tokens: list[dict]) -> tuple[list[int], str | None, str]:
@@ -367,12 +439,10 @@ def _nests(group: list[dict]) -> bool:
 
 def chosen(blocks: Iterable[tuple[str, str, int]], own: frozenset[int] = frozenset(), main: str | None = None) -> str:
     """The main text from (path, text, article) of the blocks that are no menu and the like, given the layout's template."""
-    left = [b for b in blocks]
-    marked = [b for b in left if b[2]]
-    if marked:
-        left = marked
-    elif main:
+    left = list(blocks)
+    if main:
         left = [b for b in left if b[0] == main or b[0].startswith(main + "/")] or left
+    left = [b for b in left if b[2]] or left
     return " ".join(text for path, text, _ in left if not own or key(path, text) not in own)
 
 
@@ -384,7 +454,7 @@ def main_text(page: str | None, own: frozenset[int] = frozenset(), main: str | N
 def extract(df: DataFrame, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row; null and empty pages have the text ''.
 
-    Ids may repeat or be null; pages whose url is null or has no host are read without a template.  Parsed pages and templates are written first: small
+    Repeated rows get the same text, an empty table gives an empty result, and hostile or very long pages take time and memory in proportion.  Ids may repeat or be null; pages whose url is null or has no host are read without a template.  Parsed pages and templates are written first: small
     templates are broadcast under Spark's own size limit, large ones joined by layout, where Spark splits a layout that has many of the pages.
     """
     pages = parsed_pages(df, row_id, url, page)

@@ -125,3 +125,86 @@ def test_shared_sentence_of_articles_stays(spark):
 ])
 def test_articles_end_inherited_chrome(page, text):
     assert H.main_text(page) == text
+
+
+def bare(page):
+    """The page without classes, and with a div for each container."""
+    import re
+
+    return re.sub(r"<(/?)(article|section|nav|aside|footer|header|main)\b", r"<\1div", re.sub(r" (class|id)=('[^']*'|\"[^\"]*\")", "", page))
+
+
+def test_names_blanked_out(spark):
+    """Where no name tells anything, slots of valid classes alone find the same text; a page's advert may be there or not."""
+    def page(i):
+        advert = f"<div class='ad'>Buy number {i % 5} now</div>" if i % 3 else ""
+        return (f"<nav><ul><li>Home {i}</li><li>News</li></ul></nav>{advert}<article><h1>Title {i}</h1><p>Story {i} is told here at some length, with all that was seen.</p>"
+                + f"<p>More of it, part {i}.</p>" * (i % 4) + f"</article><footer>All rights of {i} are with us</footer>")
+
+    pages = [f"<html><body>{page(i)}</body></html>" for i in range(24)]
+    named, _ = deduced(spark, pages)
+    blank, found = deduced(spark, [bare(p) for p in pages])
+    assert named == blank and len({t.main for t in found}) == 2
+    assert all(H.main_text(bare(p)) != t for p, t in zip(pages, blank))
+
+
+def brute_classes(pages):
+    """Tokens on most pages of a layout by their whole occurrence vectors."""
+    parsed = [H.parse(p) for p in pages]
+    layouts = {}
+    for n, (elements, blocks) in enumerate(parsed):
+        frame = tuple(sorted({e.path for e in elements if e.name in H.FRAME and e.article in (0, min(e.depth, H.DEPTH))}))
+        layouts.setdefault(frame, []).append([H.key(e.path) for e in elements] + [H.key(b.path, b.text) for b in blocks if not b.chrome])
+    found = set()
+    for held in layouts.values():
+        if len(held) < H.LEAST_PAGES:
+            continue
+        groups = {}
+        for t in {t for tokens in held for t in tokens}:
+            vector = tuple(tokens.count(t) for tokens in held)
+            if sum(map(bool, vector)) >= max(H.LEAST_PAGES, -(-len(held) * int(10 * H.SUPPORT) // 10)):
+                groups.setdefault(vector, set()).add(t)
+        found |= {frozenset(g) for g in groups.values()}
+    return found
+
+
+def test_classes_against_whole_vectors(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["<div class='a'><p>Welcome</p></div>", "<div class='b'><p>x{0}</p><p>y{0}</p></div>", "<ul><li>one</li><li>two</li></ul>", "<section><h2>t{0}</h2><p>shared</p></section>", "<p>lone {0}</p>", "<div><div>deep</div></div>"]
+    for k in range(3):
+        pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))).format(rng.randint(0, 3)) + parts[k] for _ in range(14)]
+        rows = H.classes(spark.createDataFrame([(i, "https://b.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.layout, r["class"]), set()).add(r.token)
+        assert {frozenset(g) for g in groups.values()} == brute_classes(pages)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><h2 id='social-history'>Social history</h2><p class='notice-period'>The notice period is long.</p><p>x</p></article>", "Social history The notice period is long. x"),
+    ("<article><p>t</p><div class='share-buttons'>s</div><div class='related-posts'><p>r</p></div><ul class='comment-list'><li>c</ul></article>", "t"),
+    ("<article><p class='search-party'>a</p><p class='reply-all-affair'>b</p><p class='promotion-of-health'>c</p></article>", "a b c"),
+    ("<p title='a > b'>t", "t"), ("<p title='open>t<p>u", "t u"), ("<p class=\"x'>t</p>", "t"), ("a <b", "a <b"), ("<script/>t", "t"), ("<p>a<!x>b<?y>c", "abc"), ("x<svg><p>s</p></svg>y", "xy"),
+])
+def test_names_of_several_words_and_odd_tags(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div a='" * 130_000, "<div>" * 4000 + "</p>" * 16_000, "<div>" * 60_000, "".join(f"<div class='c{i}'>" for i in range(40_000)), "<li><x>" * 60_000, "<" * 1_000_000, "<a" * 500_000, "<!--" * 250_000,
+    "<script>" * 120_000, "<div class=" * 90_000 + ">x", "<p " + "\"'" * 400_000,
+])
+def test_hostile_pages(page):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    H.parse(page)
+    assert time.time() - began < 6
+    tracemalloc.start()
+    H.parse(page)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    del began
