@@ -85,7 +85,7 @@ def identities(df: DataFrame, row_id: Column, text: Column, block_bytes: int = B
     """
     prepare(df.sparkSession)
     source = df.select(row_id.cast("long").alias("doc"), F.coalesce(text, F.lit("")).cast("binary").alias("text"), (F.lit(None) if place is None else place).cast("long").alias("place"))
-    cut, cut_path = written(source.mapInArrow(lean(_cut(block_bytes)), "row long, doc long, block int, blocks int, local long, content binary, chars long, sha string"), "blocks", "none")
+    cut, cut_path = written(source.mapInArrow(lean(_cut(block_bytes)), "row long, doc long, block int, blocks int, local long, content binary, chars long, sha string"), "blocks")
 
     # Level 0 sorts contents.  Each row is one task's first sight of a block: a common block has one row for each task.
     firsts = cut.where("content is not null").select("content", "local").repartition("content").sortWithinPartitions("content")
