@@ -46,8 +46,6 @@ CARRIER = bytes(range(4, 28))
 MATCH = 6
 #: Characters of a text, and windows, that are worked on at once.
 PIECE, AT_ONCE = 1 << 20, 20_000
-#: Windows whose difference a worker remembers.
-REMEMBERED = 300_000
 
 #: A-Z to a-z; other letters and bytes beyond ASCII stay; the rest are spaces.
 LETTERS = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -171,20 +169,15 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.pair = compressor(ordinary), compressor(toxic)
-        self.known: dict[bytes, int] = {}
 
     def of(self, some: list[bytes]) -> np.ndarray:
-        """For each window, the bytes that the toxic dictionary saves over the ordinary one.  Windows that come again are not compressed again."""
-        known = self.known
-        fresh = [x for x in dict.fromkeys(some) if x not in known]
-        if len(known) + len(fresh) > REMEMBERED:
-            known = self.known = {x: known[x] for x in some if x in known}
-        for a in range(0, len(fresh), AT_ONCE):
-            part = fresh[a : a + AT_ONCE]
-            held = [CARRIER + x for x in part]
+        """For each window, the bytes that the toxic dictionary saves over the ordinary one."""
+        out = np.empty(len(some), np.int64)
+        for a in range(0, len(some), AT_ONCE):
+            held = [CARRIER + x for x in some[a : a + AT_ONCE]]
             one, other = (c.multi_compress_to_buffer(held, threads=1) for c in self.pair)
-            known.update(zip(part, (len(x) - len(y) for x, y in zip(one, other))))
-        return np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+            out[a : a + len(held)] = [len(x) - len(y) for x, y in zip(one, other)]
+        return out
 
 
 class Model:
