@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import pytest
@@ -11,6 +12,7 @@ from glyphlake.functions import g2p as G
 from glyphlake.functions import korean, levantine
 from glyphlake.functions import numbers as NU
 from glyphlake.functions import translit as L
+from glyphlake.functions.arrow import mapped
 from glyphlake.operators import frontend, gate
 
 
@@ -105,7 +107,18 @@ def test_join_sentences(spark):
 
 def test_russian():
     assert [G.russian_text(w) for w in ("прив+ет", "молок+о", "щука", "тётя", "abc")] == ["p rj i0 vj e1 t", "m o0 l o0 k o1", "sch u0 k a0", "tj o0 tj a0", "a b c"]
-    assert G.stressed_entry("з+амок", [["z", "a0", "m", "o1", "k"], ["z", "a1", "m", "o0", "k"]]) == ["z", "a1", "m", "o0", "k"]
+
+
+STRESSED = [
+    ("з+амок", ["z a0 m o1 k", "z a1 m o0 k"], "z a1 m o0 k"), ("з+амок", ["z a1 m o1 k", "z a1 m o0 k"], "z a1 m o0 k"), ("з+амок", ["z a0 m o0 k", "z a1 m o1 k"], "z a1 m o1 k"),
+    ("з+амок", ["z a1 m k"], None), ("замок", ["z a1 m o0 k"], None), ("з+мок", ["z a1 m o0 k"], None), ("з+амок", [], None), ("з+амок+", ["z a1 m o0 k"], "z a1 m o0 k"),
+]
+
+
+def test_stressed_entry(spark):
+    df = spark.createDataFrame([(w, [v.split() for v in vs]) for w, vs, _ in STRESSED], "w string, v array<array<string>>").coalesce(1)
+    got = [r[0] for r in df.select(G.stressed_entry(F.col("w"), F.col("v"))).collect()]
+    assert got == [e and e.split() for _, _, e in STRESSED]
 
 
 def test_numbers():
@@ -180,7 +193,7 @@ def test_frontend(spark):
     df = spark.createDataFrame([(1, "Olá [[ˈana]], tudo BEM? Sim."), (2, ""), (3, "[[ ]] x"), (4, None), (5, "!!!")], "doc_id long, text string")
     front = frontend.Frontend()
     flat = {r.doc_id: r.phonemes for r in front.flat(df).collect()}
-    assert flat[1] == "olá ˈana tudo bem sim" and flat[3] == "x" and 2 not in flat and 4 not in flat
+    assert flat[1] == "olá ˈana tudo bem sim" and flat[3] == "x" and flat[2] == "" and flat[4] is None and flat[5] == ""
     assert {r.doc_id: r.unread for r in front.unread(df).collect()} == {1: False, 2: False, 3: False, 4: None, 5: False}
     upper = frontend.Frontend(normalize=F.upper)
     assert df.where("doc_id = 1").select(upper.prepare("text")).first()[0] == "OLÁ [[ˈana]], TUDO BEM? SIM."
@@ -203,6 +216,21 @@ def test_pieces(chunk, text, expected):
     assert [s for _, s in frontend.pieces_text(text, chunk, K.sentences_text)] == expected
 
 
+def test_rows_stay(spark):
+    """Equal and null ids are read each for itself, by a native backend in place and by a Python one through rows; both have no shuffle."""
+    rows = [(1, "Ab. Cd, [[x]] e."), (1, "Ef."), (None, "Gh."), (None, None), (2, ""), (3, "Ij. " * 30_000), (1, "Ef.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    python = mapped(lambda t: re.sub(r"\s+", " ", t.lower()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    expected = sorted([(1, "ab cd x e"), (1, "ef"), (1, "ef"), (None, "gh"), (None, None), (2, ""), (3, " ".join(["ij"] * 30_000))], key=key)
+    for backend in (K.graphemes, python):
+        flat = frontend.Frontend(backend=backend).flat(df)
+        assert sorted(map(tuple, flat.collect()), key=key) == expected
+        assert "hashpartitioning" not in flat._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.phonemes for r in frontend.spoken_sentences(df.where("doc_id = 1"), backend).collect()) == ["ab.", "cd, x e.", "ef.", "ef."]
+        assert frontend.Frontend(backend=backend).flat(df.where("false")).collect() == []
+
+
 def test_stage_order(spark):
     """Normalised and cased whole, each sentence with its marks, then the backend, without punctuation."""
     add = lambda mark: lambda c: F.concat(F.lit(mark), c)
