@@ -30,11 +30,6 @@ def test_dictionary(spark, tmp_path):
     assert [(r.word, r.variants) for r in lookups.variants(entries).collect()] == [("на", [["n", "a1"], ["n", "a0"]])]
     df = spark.createDataFrame([(1, "И на дом, на!")], "doc_id long, text string")
     assert lookups.russian_phonemes(df, entries).first().phonemes == ["i0", " ", "n", "a1", " ", "d", "o0", "m", ",", " ", "n", "a1", "!"]
-    many = spark.createDataFrame([(1, "н+а"), (1, "на, и"), (1, "на, и"), (None, "и"), (2, ""), (3, None), (4, "—"), (5, "+и")], "doc_id long, text string")
-    more = entries.union(spark.createDataFrame([("на", 0.7, ["n", "a0"], 9)], entries.schema))
-    got = [(r.doc_id, r.phonemes) for r in lookups.russian_phonemes(many, more).collect()]
-    expected = [(1, ["n", "a1"]), (1, ["n", "a0", ",", " ", "i0"]), (1, ["n", "a0", ",", " ", "i0"]), (None, ["i0"]), (2, []), (3, None), (4, ["-"]), (5, ["i1"])]
-    assert sorted(got, key=str) == sorted(expected, key=str)
 
 
 def test_glyphs_and_columns(spark, tmp_path):
