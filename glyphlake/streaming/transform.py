@@ -12,8 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glyphlake-stream-")
+    """A new folder that driver and executors share: below spark.checkpoint.dir.  Where that is unset, a local session has one of its own; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="glyphlake-stream-")
     return f"{base.rstrip('/')}/glyphlake/{name}-{uuid.uuid4().hex}"
 
 
