@@ -67,7 +67,7 @@ def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.when(F.col("doc_id") % 7 == 0, text)
     for k, letters in ALPHABETS.items():
         written = written.when(F.col("doc_id") % 7 == k, F.translate(text, LOWER, letters))
-    return documents(spark, sf_dir).select("doc_id", "lang", written.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "lang", written.otherwise(text).alias("text"))
 
 
 def q(s: str) -> str:
