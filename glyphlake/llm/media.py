@@ -1,9 +1,9 @@
 """Media columns as content-defined chunks.
 
 A payload becomes a media file (mono 8-bit PCM in a WAV container).  A rolling gear hash cuts the file where its content says so; each chunk
-is named by a digest.  A document's row holds the ordered list of its chunks.  A writing task stores a chunk inline with the first row that has
-it, and once more as a shared chunk when it first comes again; all later rows only name it.  Spark joins then make the shared chunks of all
-tasks one directory by digest, and rebuild the rows that only name chunks.  Rows that hold all their chunks, the great majority, are
+is named by a digest.  A document's row holds the ordered list of its digests.  Spark counts the digests of the whole corpus: a chunk that comes once
+is kept in its row, and one that comes again, in whatever task, is a row of the directory, once.  So each different chunk is stored once.  Reading joins
+the digests that rows only name to the directory and rebuilds the files.  Rows that hold all their chunks, the great majority, are
 read back without a shuffle.  Rebuilt files are checked against the digest that was noted when they were written.
 """
 
@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, prepare, task_base, written
+from .common import lean, prepare, removed, spread_join, task_base, written
 
 #: Chunks are cut at 2,048 bytes on average (11 bits of the hash), 512 at least, 8,192 at most.
 LEAST, BITS, MOST = 512, 11, 8192
 #: Payloads are padded with spaces to a positive multiple of this.
 UNIT = 192
-#: Digests that a writing task remembers.
+#: Digests that a writing task remembers so as not to send a chunk twice; Spark makes those of all tasks, remembered or not, one.
 REMEMBERED = 1_000_000
+#: Bits of a filter for each repeated digest, as a power of two, and the most bits of a filter, likewise.
+ROOM, WIDEST = 4, 26
 RATE = 8000
 GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -91,39 +93,77 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=20).digest()
 
 
-STORE = "row long, doc_id long, n_bytes long, media_sha256 string, missing int, digests array<binary>, inline array<binary>, shared array<struct<digest:binary,bytes:binary>>"
+#: A row of a document has all but the last three, a row of the directory only these.
+STORE = "row long, doc_id long, n_bytes long, media_sha256 string, missing int, digests array<binary>, inline array<binary>, digest binary, bytes binary, uses long"
+
+
+def _repeated(digests: DataFrame) -> tuple[DataFrame, str]:
+    """digest, uses: the digests that come more than once; written, and its path."""
+    return written(digests.groupBy("digest").agg(F.count("*").alias("uses")).where("uses > 1"), "repeated", narrow=True)
+
+
+def _filter(repeated: DataFrame) -> tuple[bytes, int]:
+    """A bit for each value of the leading bits of a digest, set where a repeated digest has it, and how many bits lead.
+
+    Digests are random, so they are their own hash.  A digest that comes once and meets a set bit goes to the directory like a repeated one, which costs
+    a join for its row and changes nothing else; so the filter can stay small, 8 MB at most.
+    """
+    width = min(WIDEST, max(10, repeated.count().bit_length() + ROOM))
+    bit = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - width)
+    words = repeated.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 6), "<i8")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes(), width
+
+
+def _cut(column: pa.Array):
+    """Of each text of a column: its bytes, its media file, and (digest, chunk) in order."""
+    for text in column:
+        raw = text.as_buffer().to_pybytes()
+        media = to_media(padded(raw))
+        yield raw, media, [(digest(c), c) for c in chunks(media)]
 
 
 def store(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """Write the media store of a text column's UTF-8 bytes; null is empty.  Returns it as read back, and its path."""
-    prepare(df.sparkSession)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))]
-    names = [c.split()[0] for c in "row doc_id n_bytes media_sha256 missing digests inline shared".split()]
+    """Write the media store of a text column's UTF-8 bytes; null is empty.  Returns it as read back, and its path.
 
-    def run(batches):
-        task, row = task_base(), -1
-        seen: dict[bytes, bool] = {}  # False until the chunk is stored as a shared one
+    Texts are read and cut three times: for the digests, for the rows and for the directory.  They must be the same each time.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    source = df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+
+    def name(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([d for _, _, cut in _cut(batch.column(1)) for d, _ in cut], pa.binary())], names=["digest"])
+
+    repeated, path = _repeated(source.mapInArrow(lean(name), "digest binary"))
+    bits, width = _filter(repeated)
+    sent = spark.sparkContext.broadcast(bits)
+
+    def apart():
+        """Whether a chunk belongs to the directory, by its digest."""
+        bits, shift = sent.value, 32 - width
+
+        def test(name: bytes) -> int:
+            at = int.from_bytes(name[:4], "big") >> shift
+            return bits[at >> 3] >> (at & 7) & 1
+
+        return test
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    parts = STORE.split(", ")
+    names = [c.split()[0] for c in parts[: len(kinds)]]
+
+    def rows(batches):
+        task, row, shared = task_base(), -1, apart()
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, (raw, media, cut) in zip(batch.column(0).to_pylist(), _cut(batch.column(1))):
                 row += 1
-                raw = text.as_buffer().to_pybytes()
-                media = to_media(padded(raw))
-                digests, inline, shared = [], [], []
-                for chunk in chunks(media):
-                    name = digest(chunk)
-                    digests.append(name)
-                    if name not in seen:
-                        if len(seen) < REMEMBERED:
-                            seen[name] = False
-                        inline.append(chunk)
-                    else:
-                        inline.append(None)
-                        if not seen[name]:
-                            seen[name] = True
-                            shared.append({"digest": name, "bytes": chunk})
-                for column, value in zip(columns, (task | row, doc, len(raw), hashlib.sha256(media).hexdigest(), inline.count(None), digests, inline, shared)):
+                inline = [None if shared(d) else c for d, c in cut]
+                for column, value in zip(columns, (task | row, doc, len(raw), hashlib.sha256(media).hexdigest(), inline.count(None), [d for d, _ in cut], inline)):
                     column.append(value)
                 held += len(media)
                 if held > 8 << 20:
@@ -132,8 +172,26 @@ def store(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> tuple[Da
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    source = df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return written(source.mapInArrow(lean(run), STORE), "media")
+    def several(batches):
+        shared, seen = apart(), set()
+        for batch in batches:
+            found = []
+            for _, _, cut in _cut(batch.column(1)):
+                for d, c in cut:
+                    if shared(d) and d not in seen:
+                        if len(seen) < REMEMBERED:
+                            seen.add(d)
+                        found.append((d, c))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], names=["digest", "bytes"])
+
+    directory = source.mapInArrow(lean(several), "digest binary, bytes binary").dropDuplicates(["digest"]).join(repeated, "digest", "left")
+    documents = source.mapInArrow(lean(rows), ", ".join(parts[: len(kinds)]))
+    both = documents.unionByName(directory.withColumn("uses", F.coalesce("uses", F.lit(1))), allowMissingColumns=True)
+    out = written(both, "media")
+    removed(spark, path)
+    sent.destroy()
+    return out
 
 
 def _reader(derive: Callable[[int, bytes], tuple], names: list[str], fetched: bool):
@@ -145,8 +203,8 @@ def _reader(derive: Callable[[int, bytes], tuple], names: list[str], fetched: bo
                 if fetched:
                     for f in r["fetched"]:
                         parts[f["pos"]] = f["bytes"]
-                media = b"".join(parts)
-                if hashlib.sha256(media).hexdigest() != r["media_sha256"]:
+                media = None if None in parts else b"".join(parts)
+                if media is None or hashlib.sha256(media).hexdigest() != r["media_sha256"]:
                     raise ValueError(f"the media of {r['doc_id']} were not rebuilt")
                 rows.append((r["doc_id"], *derive(r["n_bytes"], media)))
             columns = list(zip(*rows))
@@ -163,9 +221,9 @@ def read(stored: DataFrame, derive: Callable[[int, bytes], tuple] | None = None,
     whole = stored.where("missing = 0").select("doc_id", "n_bytes", "media_sha256", "inline").mapInArrow(lean(_reader(derive, names, False)), schema)
 
     naming = stored.where("missing > 0")
-    directory = stored.where("size(shared) > 0").select(F.explode("shared").alias("s")).select("s.digest", "s.bytes").dropDuplicates(["digest"])
+    directory = stored.where("digest is not null").select("digest", "bytes", "uses")
     wanted = naming.select("row", F.posexplode(F.arrays_zip("digests", F.transform("inline", lambda x: x.isNull()).alias("gone"))).alias("pos", "c")).where("c.gone").select("row", "pos", F.col("c.digests").alias("digest"))
-    # a digest is in several tasks' shared chunks at most once each, and in the directory once
-    fetched = wanted.join(directory, "digest").groupBy("row").agg(F.collect_list(F.struct("pos", "bytes")).alias("fetched"))
+    total = stored.agg(F.sum("missing")).first()[0] or 0
+    fetched = spread_join(wanted, directory, ["digest"], "uses", total).groupBy("row").agg(F.collect_list(F.struct("pos", "bytes")).alias("fetched"))
     rebuilt = naming.select("row", "doc_id", "n_bytes", "media_sha256", "inline").join(fetched, "row").select("doc_id", "n_bytes", "media_sha256", "inline", "fetched").mapInArrow(lean(_reader(derive, names, True)), schema)
     return whole.unionByName(rebuilt)

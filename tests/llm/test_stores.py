@@ -120,6 +120,27 @@ def test_damage_is_noticed(spark):
         media.read(stored.withColumn("media_sha256", F.lit("0"))).collect()
 
 
+def test_media_chunks_are_stored_once(spark, monkeypatch):
+    """Over all tasks, whatever these remember; a filter that is full, and one with a hot digest, lose nothing."""
+    from pyspark.sql import functions as F
+
+    shared = random.Random(5).randbytes(20_000).hex()
+    rows = [(i, (shared if i % 3 else f"{random.Random(i).randbytes(3000).hex()}{shared[:9000]}") + "y" * (i % 5), "en", "s", 1) for i in range(40)]
+    every = [media.digest(c) for r in rows for c in media.chunks(media.to_media(media.padded(r[1].encode())))]
+    for remembered, widest in ((media.REMEMBERED, media.WIDEST), (2, 6)):
+        monkeypatch.setattr(media, "REMEMBERED", remembered)
+        monkeypatch.setattr(media, "WIDEST", widest)
+        stored, _ = media.store(edge.docs(spark, rows).repartition(8))
+        inline = [bytes(c) for r in stored.where("row is not null").collect() for c in r.inline if c is not None]
+        directory = {bytes(r.digest): bytes(r.bytes) for r in stored.where("digest is not null").collect()}
+        assert stored.where("digest is not null").count() == len(directory) and all(media.digest(b) == d for d, b in directory.items())
+        kept = [*directory, *map(media.digest, inline)]
+        assert len(kept) == len(set(kept)) and set(kept) == set(every)
+        assert sorted((r.doc_id, bytes(r.media)) for r in media.read(stored).collect()) == [(r[0], media.to_media(media.padded(r[1].encode()))) for r in rows]
+    with pytest.raises(Exception, match="not rebuilt"):  # a chunk that the directory lacks
+        media.read(stored.where(F.col("digest").isNull())).collect()
+
+
 def test_file_is_audio(tmp_path):
     import wave
 
